@@ -38,8 +38,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(table(spark, sf_dir, "documents"), byte_bpe_encoder()))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.llm.secrets import digests, scan
+
+    return digests(scan(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op10_packing": op10_packing}
+    return {"op1_bpe": op1_bpe, "op6_quality": op6_quality, "op7_html": op7_html, "op9_secrets": op9_secrets, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
