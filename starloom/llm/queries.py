@@ -38,6 +38,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(table(spark, sf_dir, "documents"), byte_bpe_encoder()))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85, bands=32, rows=7)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starloom.llm.quality import judge
 
@@ -57,7 +63,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op6_quality": op6_quality, "op7_html": op7_html, "op9_secrets": op9_secrets, "op10_packing": op10_packing}
+    return {"op1_bpe": op1_bpe, "op2_minhash": op2_minhash, "op6_quality": op6_quality, "op7_html": op7_html, "op9_secrets": op9_secrets, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
