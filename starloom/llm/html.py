@@ -201,20 +201,26 @@ def page_blocks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     return read.withColumn("host", host)
 
 
-def template_subtrees(blocks: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def template_subtrees(subtrees: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """host, subtree: hashes that recur on many distinct pages of the host."""
-    above = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["above"])))
-    seen = blocks.select("host", "body", F.explode(above).alias("subtree")).distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    pages = blocks.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    seen = subtrees.select("host", "body", F.explode("subtrees").alias("subtree")).distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    pages = subtrees.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     return seen.join(pages, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    blocks = materialise(page_blocks(pages, id_col, url_col, html_col), "blocks")
-    above = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["above"])))
-    wanted = blocks.select("host", "body", F.explode(above).alias("subtree")).distinct()
-    gone = wanted.join(template_subtrees(blocks, min_pages, min_share), ["host", "subtree"]).groupBy(F.col("host").alias("g_host"), F.col("body").alias("g_body")).agg(F.collect_set("subtree").alias("gone"))
+    blocks = page_blocks(pages, id_col, url_col, html_col)
+    # Only hashes are written; the texts are read from the pages once more, which costs less than keeping them.
+    subtrees = materialise(blocks.select("host", "body", F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["above"]))).alias("subtrees")), "subtrees")
+    gone = (
+        subtrees.select("host", "body", F.explode("subtrees").alias("subtree"))
+        .distinct()
+        .join(template_subtrees(subtrees, min_pages, min_share), ["host", "subtree"])
+        .groupBy(F.col("host").alias("g_host"), F.col("body").alias("g_body"))
+        .agg(F.collect_set("subtree").alias("gone"))
+    )
+    gone = materialise(gone, "gone")
     d = blocks.join(gone, (F.col("host") == F.col("g_host")) & (F.col("body") == F.col("g_body")), "left")
     kept = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["above"], F.col("gone"))))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
