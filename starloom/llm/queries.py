@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,19 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85, bands=32, rows=7)
 
 
+def remainder(modulus: int) -> Column:
+    """crc32 of the id as text, modulo ``modulus``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.llm.langid import identify, learn
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"))
+    model = learn(docs.where(~F.col("held_out")))
+    return identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starloom.llm.quality import judge
 
@@ -56,6 +70,12 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.llm.embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starloom.llm.secrets import digests, scan
 
@@ -63,7 +83,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_minhash": op2_minhash, "op6_quality": op6_quality, "op7_html": op7_html, "op9_secrets": op9_secrets, "op10_packing": op10_packing}
+    return {"op1_bpe": op1_bpe, "op2_minhash": op2_minhash, "op4_langid": op4_langid, "op6_quality": op6_quality, "op7_html": op7_html, "op8_embeddings": op8_embeddings, "op9_secrets": op9_secrets, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
