@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from starloom.llm.common import id_text
+from starloom.llm.common import id_text, materialise
 
 #: Code points between two parts of one credential, at most.
 REACH = 256
@@ -32,7 +32,7 @@ BASE = {
 }
 WEAK = {
     "identifier": (rf"""(?i:\b(?:user(?:_?name|_?id)?|login|client_?id|account(?:_?id|_?name)?|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?({VALUE}+)|\b(?:ASIA|AROA|AIDA)[A-Z0-9]{{16,}}""", 0, 6),
-    "bare": (r"(?<![A-Za-z0-9/+=_-])(?=[A-Za-z0-9/+]{0,39}[A-Z])(?=[A-Za-z0-9/+]{0,39}[a-z])(?=[A-Za-z0-9/+]{0,39}[0-9])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])", 0, 40),
+    "bare": (r"(?<![A-Za-z0-9/+=_-])(?=[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=]))(?=[^A-Z]{0,39}[A-Z])(?=[^a-z]{0,39}[a-z])(?=[^0-9]{0,39}[0-9])[A-Za-z0-9/+]{40}", 0, 40),
     "endpoint": (r"(?:https?|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|ftp|s3)://[A-Za-z0-9.-]+(?::[0-9]{1,5})?|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com\b", 0, 8),
 }
 KINDS = [*BASE, *WEAK]
@@ -52,17 +52,22 @@ def _pieces(kind: str, wanted: Column) -> Column:
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> tuple[DataFrame, DataFrame]:
     """(documents, spans): doc_id, key of every row; doc_id, key, k (number of the kind), start, end of every span."""
-    d = id_text(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
-    has = {k: F.col("text").rlike(p) for k, (p, _, _) in (BASE | WEAK).items()}
-    identified = has["access"] | has["identifier"]
-    secret = has["assign"] | has["hex"] | has["bare"]
-    wanted = {k: has[k] for k in BASE} | {"identifier": has["identifier"] & secret, "bare": has["bare"] & identified, "endpoint": has["endpoint"] & identified & secret}
-    arrays = F.array(*[F.coalesce(_pieces(k, wanted[k]), F.array().cast("array<struct<k:int,i:int,gap:int,size:int,value:int>>")) for k in KINDS])
-    cut = d.select("doc_id", "key", F.explode(F.flatten(arrays)).alias("p")).select("doc_id", "key", "p.*").where("size is not null").distinct()
+    d = id_text(docs, id_col, text_col)
+    finds = lambda k: F.col("text").rlike((BASE | WEAK)[k][0])
+    # A costly pattern is tried only where its complements are there.
+    d = d.withColumns({"assign": finds("assign"), "access": F.col("text").contains("AKIA") & finds("access"), "hex": finds("hex"), "identifier": finds("identifier")})
+    d = d.withColumn("bare", (F.col("access") | F.col("identifier")) & finds("bare"))
+    d = d.withColumn("identifier", F.col("identifier") & (F.col("assign") | F.col("hex") | F.col("bare")))
+    d = d.withColumn("endpoint", (F.col("access") | F.col("identifier")) & (F.col("assign") | F.col("hex") | F.col("bare")) & finds("endpoint"))
+    none = F.array().cast("array<struct<k:int,i:int,gap:int,size:int,value:int>>")
+    pieces = F.flatten(F.array(*[F.coalesce(_pieces(k, F.col(k)), none) for k in KINDS]))
+    # Written once: what follows reads the pieces again and again, the texts never.
+    scanned = materialise(d.select("doc_id", F.xxhash64("text").alias("key"), F.filter(pieces, lambda p: p["size"].isNotNull()).alias("pieces")), "scanned")
+    cut = scanned.select("doc_id", "key", F.explode("pieces").alias("p")).select("doc_id", "key", "p.*").distinct()
     so_far = W.partitionBy("doc_id", "key", "k").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     least = F.element_at(F.array(*[F.lit((BASE | WEAK)[k][2]) for k in KINDS]), F.col("k") + 1)
     spans = cut.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far)).where(F.col("value") >= least).select("doc_id", "key", "k", (F.col("end") - F.col("size")).alias("start"), "end")
-    return d.select("doc_id", "key"), linked(spans, reach)
+    return scanned.select("doc_id", "key"), linked(materialise(spans, "spans"), reach)
 
 
 def linked(spans: DataFrame, reach: int = REACH) -> DataFrame:
