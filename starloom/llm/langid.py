@@ -149,10 +149,10 @@ def has_letter(text: Column) -> Column:
 
 
 def identify(docs: DataFrame, model: ContextTrees | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with the columns lang_pred and score added."""
+    """row (all columns of ``docs``), lang_pred, score of every document."""
     rows = docs.select(F.struct("*").alias("row"), F.when(has_letter(F.col(text_col)), F.col(text_col).cast("string")).alias("text"))
     if model is None:
-        return rows.select("row.*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     frozen = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,4 +168,4 @@ def identify(docs: DataFrame, model: ContextTrees | None, text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
 
     schema = rows.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(run, schema).select("row.*", "lang_pred", "score")
+    return rows.mapInArrow(run, schema)

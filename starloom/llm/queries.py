@@ -45,6 +45,14 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85, bands=32, rows=7)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: a document's directory is its source and language."""
+    from starloom.llm.licenses import scan
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
+    return scan(docs)
+
+
 def remainder(modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
@@ -55,13 +63,21 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"))
     model = learn(docs.where(~F.col("held_out")))
-    return identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(docs.select("doc_id", "text", "held_out"), model).select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
+def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.llm.lattice import score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(remainder(7) != 2, F.lit(False)).alias("learn"))
+    scored = score(docs, vocabulary("piece_bpe_32k.model"))
+    return scored.select("doc_id", (~F.col("learn") & F.col("doc_id").isNotNull()).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starloom.llm.quality import judge
 
-    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +99,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_minhash": op2_minhash, "op4_langid": op4_langid, "op6_quality": op6_quality, "op7_html": op7_html, "op8_embeddings": op8_embeddings, "op9_secrets": op9_secrets, "op10_packing": op10_packing}
+    numbered = (op1_bpe, op2_minhash, op3_licenses, op4_langid, op5_lattice, op6_quality, op7_html, op8_embeddings, op9_secrets, op10_packing)
+    return {f.__name__: f for f in numbered}
 
 
 def oracle_sql() -> dict[str, str]:
