@@ -6,9 +6,10 @@ ascending order for all shingles of a document and end as soon as every slot is
 
 Documents with equal sets become one representative. Representatives that share a band's values
 meet in a bucket; there a few leaders are compared with every other member that isn't yet in their
-component, so a bucket gives a row a member and never all its pairs. As long as a bucket holds
-members of different components, its decided leaders leave it and more are drawn, four times as
-many each round: in the end every pair of a bucket is linked, in one component, or compared.
+component, so a bucket gives a row a member and never all its pairs. In the first round a member
+meets only the smallest of the leaders of all its buckets. As long as a bucket holds members of
+different components, its decided leaders leave it and more are drawn, four times as many each
+round: in the end every pair of a bucket is linked, in one component, or compared.
 
 Defined results: a document without words has the empty set and is linked with nothing; with fewer
 words than a shingle the whole sequence is its one shingle; a null id is linked with nothing and
@@ -191,20 +192,27 @@ def bucket_links(reps: DataFrame, text: DataFrame, words: int, percent: int) ->
     members = materialise(spread.join(shared, F.col("bucket") == F.col("s_bucket")).select("bucket", "doc_id", "n_shingles"), "members")
     members = members.withColumn("component", F.col("doc_id"))
     links, leaders_each = None, 1
+    every_leader = False
     while True:
         salt = F.pmod(F.xxhash64("doc_id", F.lit(leaders_each)), F.lit(leaders_each))
         leaders = materialise(members.groupBy(F.col("bucket").alias("l_bucket"), salt.alias("salt")).agg(F.min(F.struct("doc_id", "n_shingles", "component")).alias("l")).select("l_bucket", F.col("l.doc_id").alias("a"), F.col("l.n_shingles").alias("a_size"), F.col("l.component").alias("a_component")), "leaders")
         met = members.join(leaders, (F.col("bucket") == F.col("l_bucket")) & (F.col("component") != F.col("a_component")))
         fits = (100 * F.least("a_size", "n_shingles") >= percent * F.greatest("a_size", "n_shingles"))
-        pairs = materialise(met.where(fits).select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
+        met = met.where(fits).select("a", F.col("doc_id").alias("b"))
+        # At first each document meets only the smallest of its leaders: that links most copies with a pair a document.
+        met = met.distinct() if every_leader else met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        pairs = materialise(met, "pairs")
         new = materialise(compare(pairs, text, words).where(100 * F.col("both") >= percent * F.col("either")).select("a", "b"), "links")
-        links = new if links is None else materialise(links.unionByName(new), "links")
+        links = new if links is None else links.unionByName(new)
         found = materialise(components(links), "components")
         # Decided leaders leave their buckets; a bucket within one component is done.
-        left = members.join(leaders, (F.col("bucket") == F.col("l_bucket")) & (F.col("doc_id") == F.col("a")), "left_anti")
+        left = members
+        if every_leader:
+            left = left.join(leaders, (F.col("bucket") == F.col("l_bucket")) & (F.col("doc_id") == F.col("a")), "left_anti")
         left = materialise(left.select("bucket", "doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")), "members")
         several = materialise(left.groupBy(F.col("bucket").alias("s_bucket")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("s_bucket"), "shared")
         if several.isEmpty():
             return links
         members = materialise(left.join(several, F.col("bucket") == F.col("s_bucket")).select("bucket", "doc_id", "n_shingles", "component"), "members")
-        leaders_each *= 4
+        leaders_each *= 4 if every_leader else 1
+        every_leader = True
