@@ -17,9 +17,9 @@ RATIOS = (1.0, 2.0, 3.0, 0.5, 1 / 3)
 
 
 def rounded(x: Column, digits: int = 4) -> Column:
-    """Half up, alike in every engine."""
+    """Half up, alike in every engine: the last bits of a sum don't decide a tie."""
     k = 10.0**digits
-    return F.floor(x * F.lit(k) + F.lit(0.5)).cast("double") / F.lit(k)
+    return F.floor(x * F.lit(k) + F.lit(0.500001)).cast("double") / F.lit(k)
 
 
 def separation(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
@@ -88,9 +88,9 @@ def alias_of(found: Column, listed: Column, tolerance: float = 0.01) -> Column:
     return F.coalesce(*[F.when(F.abs(found / listed - k) / k < tolerance, F.lit(k)) for k in RATIOS])
 
 
-def sectors_mask(sector: Column) -> Column:
-    """Bits of sectors from 1 on, over a group."""
-    return F.bit_or(F.expr("shiftleft(1L, cast(%s - 1 as int))" % sector) if isinstance(sector, str) else sector)
+def sectors_mask(sector: str) -> Column:
+    """Bits of a group's sectors, from 1 on."""
+    return F.bit_or(F.expr(f"shiftleft(1L, cast({sector} as int) - 1)"))
 
 
 def sectors_of(bits: str) -> Column:
