@@ -178,15 +178,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     signed = materialise(signatures(docs, words, bands, rows, id_col, text_col), "signatures")
     classes = materialise(signed.where("n_shingles > 0").groupBy(F.col("set_hash").alias("c_hash")).agg(F.min("doc_id").alias("rep")), "classes")
     classed = materialise(signed.join(classes, F.col("set_hash") == F.col("c_hash"), "left").select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "classed")
-    links = bucket_links(classed.where("bands is not null").select("doc_id", "n_shingles", "bands"), text, words, percent)
-    found = materialise(components(links), "components")
+    found = bucket_components(classed.where("bands is not null").select("doc_id", "n_shingles", "bands"), text, words, percent)
     joined = classed.select("doc_id", "n_shingles", "rep").join(found, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("component", "rep", "doc_id")
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def bucket_links(reps: DataFrame, text: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) among representatives that suffice for the components of all links within buckets."""
+def bucket_components(reps: DataFrame, text: DataFrame, words: int, percent: int) -> DataFrame:
+    """node, component of the representatives that any link within a bucket joins."""
     spread = reps.select("doc_id", "n_shingles", F.explode("bands").alias("bucket")).distinct()
     shared = materialise(spread.groupBy(F.col("bucket").alias("s_bucket")).agg(F.count("*").alias("n")).where("n > 1").select("s_bucket"), "shared")
     members = materialise(spread.join(shared, F.col("bucket") == F.col("s_bucket")).select("bucket", "doc_id", "n_shingles"), "members")
@@ -212,7 +211,7 @@ def bucket_links(reps: DataFrame, text: DataFrame, words: int, percent: int) ->
         left = materialise(left.select("bucket", "doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")), "members")
         several = materialise(left.groupBy(F.col("bucket").alias("s_bucket")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("s_bucket"), "shared")
         if several.isEmpty():
-            return links
+            return found
         members = materialise(left.join(several, F.col("bucket") == F.col("s_bucket")).select("bucket", "doc_id", "n_shingles", "component"), "members")
         leaders_each *= 4 if every_leader else 1
         every_leader = True
