@@ -28,7 +28,24 @@ from starloom.llm.common import id_text
 KEPT_WORDS = 600_000
 #: Characters that the vocabulary's pattern takes for white space.
 SPACES = r"\t-\r \x85\xa0  -     　"
-WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
+#: Letters and digits of Unicode versions that the vocabulary's library doesn't know yet; it takes them for symbols.
+NEWER = (
+    "\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb"
+    "\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8"
+    "\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20"
+    "\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6"
+    "\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de"
+    "\U0001e6e0-\U0001e6e2\U0001e6e4\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe\U0001e6ff"
+    "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+#: Capitals that the library lowers and Python doesn't know yet.
+LOWERED = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWERED |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+WORDS = regex.compile(rf"{CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
+HAS_NEWER = regex.compile(f"[{NEWER}{''.join(map(chr, LOWERED))}]")
+WORDS_NEWER = regex.compile(rf"(?V1){CONTRACTIONS}|[\p{{L}}--[{NEWER}]]+|[\p{{N}}--[{NEWER}]]|(?:[^{SPACES}\p{{L}}\p{{N}}]|[{NEWER}])+")
 
 
 def byte_letters() -> list[str]:
@@ -65,7 +82,9 @@ class WordBpe:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # Letter by letter, a sigma at a word's end stays an inner one.
-        return WORDS.findall(text.replace("Σ", "σ").lower())
+        newer = not text.isascii() and HAS_NEWER.search(text)
+        text = text.replace("Σ", "σ").lower()
+        return WORDS_NEWER.findall(text.translate(LOWERED)) if newer else WORDS.findall(text)
 
     def parts(self, text: str) -> list[str]:
         """Words and special tokens of ``text``, in order; a special token stands as it is written."""
