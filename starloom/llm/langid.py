@@ -1,9 +1,9 @@
 """Language identification by prediction by partial matching.
 
 For each language a tree of byte contexts of up to three bytes holds how often each byte followed.
-A byte's code length is that of the longest context in which it followed, plus the escapes from the
-longer contexts that were seen without it (escape method C, no exclusions); below the empty context
-all bytes are alike. Statistics are frozen after learning; a text goes to the language that gives
+All contexts of a byte are blended: each gives its counts' share and passes the probability of its
+escape (method C) to the next shorter one, so that the probabilities of all bytes sum to one; below
+the empty context all bytes are alike. Statistics are frozen after learning; a text goes to the language that gives
 it the shortest code, and the score is that language's posterior under even priors.
 
 Learning reads whole texts of labelled rows: for each language all of them up to ``rows_a_language``,
@@ -91,7 +91,7 @@ class ContextTrees:
             whole = np.maximum(total + kinds, 1)
             escape = np.where(kinds > 0, np.log(np.maximum(kinds, 1) / whole), 0.0)
             lower = self._lower(keys & ((1 << 8 * (width - 1)) - 1), width - 1, below)
-            value = np.where(count > 0, np.log(np.maximum(count, 1) / whole[above]), escape[above] + lower)
+            value = np.log(count / whole[above] + np.exp(escape[above] + lower))
             self.orders.append((HashIndex(keys), value.astype(np.float32), HashIndex(contexts), escape.astype(np.float32)))
 
     def _lower(self, codes: np.ndarray, width: int, below: np.ndarray) -> np.ndarray:
