@@ -46,6 +46,19 @@ def test_quality_rejects_what_the_target_lacks(spark):
     assert found.where("kept").drop("row").count() == 60
 
 
+def test_quality_keeps_groups_of_copies(spark):
+    """Exact and near copies of clean texts, of which the target holds few or none; junk still goes."""
+    exact, near, junk = " ".join(prose(7, 200)), prose(8, 200), " ".join(w + "###" for w in prose(9, 200))
+    rows = [(i, " ".join(prose(100 + i, 200)), "en", "a", 0) for i in range(60)]
+    rows += [(1000 + i, exact, "en", "a", 0) for i in range(300)]
+    rows += [(2000 + i, " ".join(near[:i] + [f"edit{i}"] + near[i:]), "en", "a", 0) for i in range(200)]
+    rows += [(5000 + i, junk + " " + " ".join(prose(3000 + i, 20)), "en", "a", 0) for i in range(20)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in (*range(40), 1000, 2000)], "doc_id long, quality int, toxic int")
+    found = quality.judge(spark.createDataFrame(rows, SCHEMA), labels).drop("row").collect()
+    kept = {r["doc_id"] for r in found if r["kept"]}
+    assert kept >= {r[0] for r in rows if r[0] < 5000}
+
+
 def python_spans(text):
     t, found = text or "", []
     for n, (kind, (pattern, group, least)) in enumerate(secrets.BASE.items()):

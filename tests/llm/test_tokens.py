@@ -52,6 +52,16 @@ def test_any_text(text):
     assert ids == library.encode(text, add_special_tokens=False).ids
 
 
+def test_every_character(library):
+    """All code points, beside a letter, beside symbols and doubled."""
+    own = bpe.word_bpe(WORD_JSON)
+    texts = [f"x{chr(c)}y {chr(c)}!{chr(c)}{chr(c)}1" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(texts), 50_000):
+        part = texts[at : at + 50_000]
+        want = [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+        assert [ids for ids, _ in own.encode_batch(part)] == want
+
+
 def test_special_tokens_and_overlaps(library):
     own = bpe.word_bpe(WORD_JSON)
     for text in ("<|startoftext|> hi <|endoftext|>", "aaaaaaa aaa aa", "x" * 999):
