@@ -10,6 +10,13 @@ Learning reads whole texts of labelled rows: for each language all of them up to
 beyond that a sample of about so many by a hash of the id. The counts meet in Spark, one row for
 each language and four bytes, and the model is as large as the sample's distinct four bytes.
 
+The score only tells the learned languages from each other. Whether a text is in any of them its code
+length by one tree of all learned words tells (``learn_words``, ``code_bits``); words are runs of
+letters in lower case, without what digits are mixed into (``words_of``). ``bounds`` gives the bits a
+byte that a text may take: the learned rows are dealt into halves by a hash of the text and each is
+coded by the other half's tree; a language's bound is the geometric mean of its rows' median and of
+the 8 bits a byte takes that nothing is known of.
+
 Defined results: a null text and a text without letters are ``und`` with score 0, as is every text
 if nothing could be learned; rows with a null language aren't learned from; ties go to the language
 that is first in order; repeated rows count as often as they come; an empty table gives no rows;
@@ -18,11 +25,12 @@ columns other than those named are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.llm.hashindex import HashIndex
@@ -30,6 +38,8 @@ from starloom.llm.hashindex import HashIndex
 ROWS_A_LANGUAGE = 5_000
 UNKNOWN = "und"
 PAD = 10
+#: Bits that a byte takes of which nothing is known.
+UNLEARNED = 8
 #: Numbers that one block of scores holds, at most.
 BLOCK = 4_000_000
 
@@ -115,6 +125,12 @@ class ContextTrees:
 
     def judge(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of the language and score of each text."""
+        total = self.totals(texts)
+        best = total.argmax(axis=1)
+        return best, 1 / np.exp(np.minimum(total - total.max(axis=1, keepdims=True), 0)).sum(axis=1)
+
+    def totals(self, texts: pa.Array) -> np.ndarray:
+        """Log probability of each text, one column a language."""
         data, starts, sizes = buffers(texts)
         codes = four_bytes(data, starts, sizes)
         total = np.zeros((len(sizes), len(self.langs)))
@@ -124,26 +140,77 @@ class ContextTrees:
             part = owner[at : at + step]
             first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             total[part[first]] += np.add.reduceat(self.log_probability(codes[at : at + step]), first, axis=0, dtype=np.float64)
-        best = total.argmax(axis=1)
-        return best, 1 / np.exp(np.minimum(total - total.max(axis=1, keepdims=True), 0)).sum(axis=1)
+        return total
 
 
-def learn(rows: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> ContextTrees | None:
-    """Trees of the languages in ``rows``; None if there are none."""
+def sample(rows: DataFrame, rows_a_language: int, lang_col: str, text_col: str, id_col: str) -> tuple[DataFrame, list[str]]:
+    """The rows to learn from, and their languages."""
     labelled = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return None
     share = F.lit(None)
     for lang, n in sizes.items():
         share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, rows_a_language / n))).otherwise(share)
     dice = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_003)) / F.lit(1_000_003)
-    counts = count_contexts(labelled.where(dice < share), lang_col, text_col).toPandas()
-    langs = sorted(sizes)
+    return labelled.where(dice < share), sorted(sizes)
+
+
+def learn(rows: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> ContextTrees | None:
+    """Trees of the languages in ``rows``; None if there are none."""
+    learned, langs = sample(rows, rows_a_language, lang_col, text_col, id_col)
+    if not langs:
+        return None
+    counts = count_contexts(learned, lang_col, text_col).toPandas()
     number = {lang: k for k, lang in enumerate(langs)}
     return ContextTrees(langs, counts["code"].to_numpy(np.int64), counts["lang"].map(number).to_numpy(np.int64), counts["n"].to_numpy(np.int64))
 
 
+def words_of(text: Column) -> Column:
+    """The words of letters, in lower case and one space apart; null if there are none."""
+    plain = F.regexp_replace(text.cast("string"), r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]++", " ")
+    words = F.trim(F.regexp_replace(F.lower(plain), r"[^\p{L}\p{M}]++", " "))
+    return F.when(words != "", words)
+
+
+def halves_of(words: Column) -> Column:
+    """0 or 1: copies of a text are in one half."""
+    return F.pmod(F.xxhash64(words, F.lit("half")), F.lit(2))
+
+
+def learn_words(rows: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> ContextTrees:
+    """Trees of the words of all languages: of both halves of the rows, of the first and of the second."""
+    learned, _ = sample(rows, rows_a_language, lang_col, text_col, id_col)
+    words = learned.select(words_of(F.col(text_col)).alias("words"))
+    counts = count_contexts(words.withColumn("half", halves_of(F.col("words")).cast("string")), "half", "words").toPandas()
+    code, n = (np.tile(counts[c].to_numpy(np.int64), 2) for c in ("code", "n"))
+    half = counts["lang"].astype(int).to_numpy(np.int64)
+    return ContextTrees(["all", "first", "second"], code, np.concatenate([np.zeros_like(half), 1 + half]), n)
+
+
+def code_bits(spark: SparkSession, trees: ContextTrees, words: Column, tree: Column) -> Column:
+    """Bits that each text's words take by the tree of that number; null for null."""
+    frozen = spark.sparkContext.broadcast(trees)
+
+    def run(words, tree):
+        out = np.full(len(words), np.nan)
+        own = tree.to_numpy(np.int64)
+        known = np.flatnonzero(words.notna().to_numpy())
+        for at in range(0, len(known), 500):
+            part = known[at : at + 500]
+            out[part] = -frozen.value.totals(pa.array(words.iloc[part], pa.string()))[np.arange(len(part)), own[part]] / np.log(2)
+        return type(tree)(out)
+
+    return F.nanvl(F.pandas_udf(run, "double", F.PandasUDFType.SCALAR)(words, tree), F.lit(None).cast("double"))
+
+
+def bounds(rows: DataFrame, trees: ContextTrees, rows_a_language: int = ROWS_A_LANGUAGE, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> dict[str, float]:
+    """Bits a byte that the words of a text in each language may take."""
+    learned, langs = sample(rows, rows_a_language, lang_col, text_col, id_col)
+    d = learned.select(F.col(lang_col).alias("lang"), words_of(F.col(text_col)).alias("words")).where("words is not null")
+    rate = code_bits(rows.sparkSession, trees, F.col("words"), 2 - halves_of(F.col("words"))) / F.octet_length("words")
+    found = d.select("lang", rate.alias("rate")).groupBy("lang").agg(F.percentile_approx("rate", 0.5, 10_000).alias("rate")).collect()
+    return dict.fromkeys(langs, float(UNLEARNED)) | {r["lang"]: math.sqrt(r["rate"] * UNLEARNED) for r in found}
+
+
 def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 

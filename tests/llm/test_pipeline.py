@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -36,3 +38,17 @@ def test_run_is_the_stages_in_turn(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert out.count() > 50
+
+
+def test_language_stage_rejects_what_was_never_learned(spark, sf):
+    r = random.Random(5)
+    alphabets = ["bcdfghjklmnpqrstvwxz", "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "".join(map(chr, range(0x4E00, 0x5200)))]
+    foreign = [(10_000_000 + 100 * k + i, " ".join("".join(r.choice(a) for _ in range(r.randint(3, 9))) for _ in range(80)), None, "x", 0) for k, a in enumerate(alphabets) for i in range(20)]
+    clean = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    unlabelled = F.when(F.col("doc_id") % 4 != 0, F.col("lang"))
+    given = clean.withColumn("lang", unlabelled)
+    for rows in (given, given.where("lang = 'en'")):
+        docs = rows.unionByName(spark.createDataFrame(foreign, SCHEMA))
+        kept = stages.language(spark, docs, sf)
+        assert kept.where("doc_id >= 10000000").count() == 0
+        assert rows.where(F.col("text").rlike(r"\p{L}")).select("doc_id").subtract(kept.select("doc_id")).count() == 0
