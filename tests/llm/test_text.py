@@ -3,6 +3,7 @@ import hashlib
 import html
 import math
 import re
+import textwrap
 import zlib
 
 import public_tokenizers as P
@@ -222,6 +223,28 @@ def test_licences(spark, odd, nothing):
     assert licenses.scan(nothing.withColumn("path", F.lit("a/b"))).count() == 0
 
 
+def test_licences_in_lines_and_wrapped(spark):
+    names = {"Apache-2.0": 0, "MIT": 4, "GPL-3.0": 7, "CC-BY-NC-4.0": 24}
+    rows, want = [], {}
+    for n in (10, 40):
+        for name, k in names.items():
+            want[len(rows)] = name
+            rows.append((len(rows), f"s{len(rows)}/x.js", " ".join([*prose(3, n // 2), licenses.TEMPLATES[k][1], *prose(4, n // 2)])))
+    for width in (40, 60, 72, 79):
+        for k in (1, 6, 8, 17):
+            want[len(rows)] = licenses.TEMPLATES[k][0]
+            rows.append((len(rows), f"w{len(rows)}/x.c", "\n".join(f" * {x}" for x in textwrap.wrap(licenses.TEMPLATES[k][1], width)) + "\n" + "\n".join(" ".join(prose(50 + i, 8)) for i in range(60))))
+    for text in ("the pictures are licensed under the terms of our contract with them", "permission is needed to copy this and the copyright holder may refuse to give it", "licensed under the law of the land, with a warranty for all who ask"):
+        want[len(rows)] = None
+        rows.append((len(rows), f"n{len(rows)}/x.txt", " ".join([*prose(5, 20), text, *prose(6, 20)])))
+    rows.append((len(rows), "m/mit.txt", "\n".join(textwrap.wrap(licenses.TEMPLATES[6][1], 60))))
+    want[len(rows) - 1] = "MIT"
+    found = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert {i: r["license"] for i, r in found.items()} == want
+    # The long GPL notice makes up 12 of its 22 words.
+    assert {i for i, r in found.items() if r["is_license_file"]} == {2, len(rows) - 1}
+
+
 def test_cosine_against_plain_python():
     rows, idf, rare = licenses.template_vectors()
     for k in range(len(licenses.TEMPLATES)):
