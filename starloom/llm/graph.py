@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import materialise
+from starloom.llm.common import discard, materialise
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,10 +19,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     e = materialise(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while not are_stars(e):
-        large = materialise(star(both_ways(e), larger_only=True), "edges")
-        e = materialise(star(large, larger_only=False), "edges")
+        large = star(both_ways(e), larger_only=True)
+        discard(e)
+        e = star(large, larger_only=False)
+        discard(large)
     stars = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    out = materialise(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()), "components")
+    discard(e)
+    return out
 
 
 def are_stars(e: DataFrame) -> bool:
@@ -47,4 +51,6 @@ def star(e: DataFrame, larger_only: bool) -> DataFrame:
         out = j.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = j.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
-    return out.where("a <> b").distinct()
+    out = materialise(out.where("a <> b").distinct(), "edges")
+    discard(least)
+    return out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from starloom.llm import langid, minhash, packing
 from starloom.llm import quality as rules
 from starloom.llm import secrets as scans
+from starloom.llm.common import materialise
 from starloom.llm.queries import byte_bpe_encoder
 
 #: Least score of a language that is believed.
@@ -36,11 +37,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates at five words and 0.8, and one row of each id."""
-    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    rows = docs.select("doc_id", F.struct("*").alias("row"))
-    kept = rows.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(rows.where("doc_id is null")).select("row.*")
+    """One document of each group of near-duplicates at five words and 0.8.
+
+    Rows are told apart by a number of their own, so that null ids and ids that repeat with other
+    texts are judged by their texts alone; the first row of a group stays. Rows without words stay.
+    """
+    numbered = materialise(docs.select(F.monotonically_increasing_id().alias("number"), F.struct("*").alias("row")), "numbered")
+    gone = minhash.near_duplicates(numbered.select("number", F.col("row.text").alias("text")), id_col="number").where("not kept").select(F.col("doc_id").alias("gone"))
+    return numbered.join(gone, F.col("number") == F.col("gone"), "left_anti").select("row.*")
 
 
 def masked(text: Column, spans: Column) -> Column:

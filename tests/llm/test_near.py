@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from starloom.llm import embeddings, graph, minhash
 
@@ -50,9 +51,9 @@ def corpus():
 def test_components_equal_brute_force(spark):
     docs = corpus()
     d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], SCHEMA)
-    for k, percent, bands, rows in ((3, 85, 32, 7), (5, 80, 36, 6)):
+    for k, percent, bands, rows, block in ((3, 85, 32, 7, 512), (5, 80, 36, 6, 4)):
         want = brute(docs, k, percent)
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(d, k, percent, bands, rows).collect()}
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(d, k, percent, bands, rows, block).collect()}
         assert got == {i: (n, c, i == c) for i, (n, c) in want.items()}
 
 
@@ -67,6 +68,26 @@ def test_odd_rows(odd, clashing, nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_a_hot_group_of_near_copies(spark):
+    """Copies of one text that differ so much that many pairs don't link, over buckets of many blocks; no row for a pair."""
+    r, words = random.Random(8), prose(3, 150)
+    docs = []
+    for i in range(400):
+        copy = list(words)
+        for j in r.sample(range(150), r.randint(0, 9)):
+            copy[j] = f"x{r.random()}"
+        docs.append((i, " ".join(copy)))
+    want = brute(docs, 3, 85)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(d, 3, 85, 32, 7, 32).collect()}
+    assert got == want
+    members = spark.createDataFrame([(1, 0, i, 0 if i < 300 else i, 400) for i in range(400)], "bucket long, band int, doc_id long, component long, n long")
+    met = minhash.outside_blocks(members, 32).groupBy("bucket", "p", "q").agg(F.collect_list("doc_id").alias("ids")).collect()
+    assert sum(len(x["ids"]) for x in met) < 400 * 15 and {i for x in met for i in x["ids"]} == set(range(400))
+    together = {(a, b) for x in met for a in x["ids"] for b in x["ids"]}
+    assert all((a, b) in together for a in range(300, 400) for b in range(400))
+
+
 def test_signatures_estimate_the_similarity():
     shingler = minhash.Shingler(1)
     a, b = shingler.sets([" ".join(map(str, range(0, 900))), " ".join(map(str, range(100, 1000)))])
