@@ -5,8 +5,10 @@ import math
 import re
 import textwrap
 import zlib
+from collections import Counter
 
 import public_tokenizers as P
+import pytest
 from pyspark.sql import functions as F
 
 from starloom.llm import html as pages
@@ -142,6 +144,63 @@ def all_segmentations(word, logs, byte, pieces):
     return total
 
 
+def plain_lattice(docs):
+    """Score of each (text, learn) with every segmentation spelt out."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    own = {model.id_to_piece(i): 1 / (100 - model.get_score(i)) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
+    whole = sum(own.values())
+    weight, byte = {k: w / whole * (1 - lattice.BYTES) for k, w in own.items()}, lattice.BYTES / 256
+
+    def segmentations(w):
+        """(probability, pieces, bytes) of each."""
+        if not w:
+            yield 1.0, [], 0
+        for j in range(1, len(w) + 1):
+            if w[:j] in weight:
+                for p, rest, n in segmentations(w[j:]):
+                    yield weight[w[:j]] * p, [w[:j], *rest], n
+        if w:
+            k = len(w[0].encode())
+            for p, rest, n in segmentations(w[1:]):
+                yield byte**k * p, rest, n + k
+
+    words_of = lambda t: (t or "").encode().lower().split()
+    c = Counter(w for t, learn in docs if learn for w in [*words_of(t), b""])
+    n, v, expected, spelt = sum(c.values()), len(c), Counter(), 0.0
+    for w in c:
+        if w:
+            found = list(segmentations("\u2581" + w.decode()))
+            total = sum(p for p, _, _ in found)
+            for p, pieces, k in found:
+                spelt += k * p / total
+                for x in pieces:
+                    expected[x] += p / total
+    total = sum(expected.values()) + spelt
+    weight = {k: 0.9 * expected[k] / total + 0.1 * w for k, w in weight.items()}
+    byte = (0.9 * spelt / total + 0.1 * lattice.BYTES) / 256
+    out = []
+    for t, _ in docs:
+        score = 0.0
+        for w in [*words_of(t), b""]:
+            p = 0.99 * sum(p for p, _, _ in segmentations("\u2581" + w.decode())) if w else 0.01
+            score += math.log10((c[w] + v * p) / (n + v))
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize("common", [20_000, 3, 1])
+def test_scores_equal_all_segmentations_spelt_out(spark, common, monkeypatch):
+    texts = [("the cat sat on the mat", True), ("a cat \u00e9t\u00e9 the cat", True), ("The dog x7 sat", False), (None, True), ("", False), ("the \u6570 zzzq", False), ("the cat sat on the mat", True)]
+    monkeypatch.setattr(lattice.spread_words, "__defaults__", (common,))
+    d = spark.createDataFrame([(i, t, learn, "x") for i, (t, learn) in enumerate(texts)], "doc_id long, text string, learn boolean, h string")
+    got = {r["doc_id"]: r for r in lattice.score(d, P.path("piece_bpe_32k.model")).collect()}
+    for i, want in enumerate(plain_lattice(texts)):
+        assert got[i]["score"] == pytest.approx(want, rel=1e-9), i
+    assert [got[i]["n_tokens"] for i in range(7)] == [7, 6, 5, 1, 1, 4, 7] and got[2]["n_known"] == 3 and got[5]["n_known"] == 2
+
+
 def test_lattice_sums_all_segmentations():
     import numpy as np
 
