@@ -10,7 +10,7 @@ A pair at cosine 0.98 is missed by all tables about 6 times in 100,000.
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite components, and
 vectors with a null label or id, are linked with nothing and kept; vectors of different lengths
-never link; repeated rows are equal vectors; an empty table gives no rows; other columns are ignored.
+never link; repeated rows are equal vectors, and each vector of an id that repeats has links of its own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import materialise
+from starloom.llm.common import discard, materialise
 from starloom.llm.graph import components
 from starloom.llm.minhash import STEP, mix
 
@@ -97,13 +97,13 @@ def roots(links: np.ndarray) -> np.ndarray:
 
 
 def count_links(groups: DataFrame, least: float) -> DataFrame:
-    """vec_id, n_links, peer: links that each vector has within its group, and a vector of its component there.
+    """vec_id, same, n_links, peer: links that each vector has within its group, and a vector of its component there.
 
     ``groups`` is dealt and sorted by (table, bucket, p, q); rows of block p meet rows of block q.
     """
 
-    def settle(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        rows.sort(key=lambda r: r[5])
+    def settle(rows: list[tuple]) -> Iterator[tuple]:
+        rows.sort(key=lambda r: (r[5], r[9]))
         table, p, q = rows[0][0], rows[0][2], rows[0][3]
         ids, weight = np.array([r[5] for r in rows], np.int64), np.array([r[7] for r in rows], np.int64)
         block, keys = np.array([r[4] for r in rows]), np.array([r[8] for r in rows], np.int64)
@@ -119,12 +119,12 @@ def count_links(groups: DataFrame, least: float) -> DataFrame:
             low = roots(links)
             for i, n in enumerate(links @ weight):
                 if n:
-                    yield int(ids[i]), int(n), int(ids[low[i]])
+                    yield int(ids[i]), rows[i][9], int(n), int(ids[low[i]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
+            out: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and held[-1][:4] != row[:4]:
                     out += settle(held)
@@ -134,10 +134,11 @@ def count_links(groups: DataFrame, least: float) -> DataFrame:
         if held:
             yield rows_of(list(settle(held)))
 
-    def rows_of(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], ["vec_id", "n_links", "peer"])
+    def rows_of(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["vec_id", "same", "n_links", "peer"])
 
-    return groups.mapInArrow(run, "vec_id long, n_links long, peer long")
+    return groups.mapInArrow(run, "vec_id long, same string, n_links long, peer long")
 
 
 def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, tables: int = TABLES, each: int = PROJECTIONS, width: float = WIDTH, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -149,24 +150,24 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, tables: int
     d = d.withColumn("same", same)
     classes = materialise(d.where("same is not null").groupBy(F.col("same").alias("c_same")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
     joined = d.join(classes, F.col("same") == F.col("c_same"), "left")
-    classed = materialise(joined.select("vec_id", "rep", "copies", "label", F.when(F.col("vec_id") == F.col("rep"), F.col("vector")).alias("vector")), "classed")
-    reps = materialise(with_keys(classed.where("vector is not null").dropDuplicates(["vec_id", "label"]).select("vec_id", "label", "vector", "copies"), tables, each, width), "keys")
+    classed = materialise(joined.select("vec_id", "rep", "copies", "label", "same", F.when(F.col("vec_id") == F.col("rep"), F.col("vector")).alias("vector")), "classed")
+    reps = materialise(with_keys(classed.where("vector is not null").dropDuplicates(["same"]).select("vec_id", "label", "vector", "copies", "same"), tables, each, width), "keys")
 
-    members = reps.select("vec_id", F.posexplode("keys").alias("table", "key"), "label").select("vec_id", "table", F.xxhash64("label", "key").alias("bucket"))
+    members = reps.select("vec_id", "same", F.posexplode("keys").alias("table", "key"), "label").select("vec_id", "same", "table", F.xxhash64("label", "key").alias("bucket"))
     shared = materialise(members.groupBy(F.col("table").alias("s_table"), F.col("bucket").alias("s_bucket")).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "shared")
-    placed = members.join(shared, (F.col("table") == F.col("s_table")) & (F.col("bucket") == F.col("s_bucket"))).select("vec_id", "table", "bucket", "blocks")
-    own = placed.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    placed = members.join(shared, (F.col("table") == F.col("s_table")) & (F.col("bucket") == F.col("s_bucket"))).select("vec_id", "same", "table", "bucket", "blocks")
+    own = placed.withColumn("own", F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int"))
     # A row goes to the pair of its block with each block of the bucket.
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("vec_id", "table", "bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own")
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("same", "table", "bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own")
     dealt = materialise(dealt, "dealt")
-    full = dealt.join(reps.select(F.col("vec_id").alias("r_id"), "vector", "copies", "keys"), F.col("vec_id") == F.col("r_id")).select("table", "bucket", "p", "q", "own", "vec_id", "vector", "copies", "keys")
+    full = dealt.join(reps.select(F.col("same").alias("r_same"), "vec_id", "vector", "copies", "keys"), F.col("same") == F.col("r_same")).select("table", "bucket", "p", "q", "own", "vec_id", "vector", "copies", "keys", "same")
     keys = ["table", "bucket", "p", "q"]
     found = materialise(count_links(full.repartition(*keys).sortWithinPartitions(*keys), least), "links")
 
-    counts = found.groupBy("vec_id").agg(F.sum("n_links").alias("found"))
+    counts = materialise(found.groupBy(F.col("same").alias("n_same")).agg(F.sum("n_links").alias("found")), "counts")
     comps = components(found.select(F.col("vec_id").alias("a"), F.col("peer").alias("b")))
-    per_rep = materialise(counts.join(comps, F.col("vec_id") == F.col("node"), "full").select(F.coalesce("vec_id", "node").alias("r_rep"), "found", "component"), "reps")
-    out = classed.select("vec_id", "rep", "copies").join(per_rep, F.col("rep") == F.col("r_rep"), "left")
+    discard(shared, dealt, reps, found, classes)
+    out = classed.select("vec_id", "rep", "copies", "same").join(counts, F.col("same") == F.col("n_same"), "left").join(comps, F.col("rep") == F.col("node"), "left")
     n_links = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("found", F.lit(0))
     out = out.select("vec_id", n_links.cast("long").alias("n_links"), F.coalesce("component", "rep", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -3,7 +3,7 @@
 A document's ids are cut into full windows and one remainder. Full windows stand alone; remainders
 are packed, longest first, each into the open window with the tightest remaining capacity, found
 by a segment tree over capacities. Remainders are packed in blocks of bounded size that a hash of
-the document id deals out, so no task holds more than a block and a block's result depends only on
+the piece and its number deals out, so that null and repeated ids spread too and no task holds more than a block and a block's result depends only on
 its own rows: a lost executor's blocks come out the same again.
 
 Defined results: a null text counts as empty (its one id is the end id); rows with a null id are
@@ -139,15 +139,16 @@ def best_fit(lengths: list[int], window: int = WINDOW) -> tuple[list[int], list[
 
 def pack(pieces: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """Adds sequence_id and offset to pieces of at most ``window`` ids."""
-    pieces = materialise(pieces, "pieces")
+    # A number of its own for each piece, fixed by being written.
+    pieces = materialise(pieces.withColumn("piece_number", F.monotonically_increasing_id()), "pieces")
     blocks = max(1, -(-pieces.count() // block))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name != "piece_number")
 
     def fill(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.drop_columns(["block"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("piece_number", "ascending")]).drop_columns(["block", "piece_number"])
         at, offsets = best_fit(table.column("length").to_pylist(), window)
         base = key[0].as_py() << 32
         return table.append_column("sequence_id", pa.array([base + x for x in at], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(blocks)))
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "piece_number"), F.lit(blocks)))
     return dealt.groupBy("block").applyInArrow(fill, schema + ", sequence_id long, offset long")

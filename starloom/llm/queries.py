@@ -46,11 +46,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table has no paths: a document's directory is its source and language."""
+    """The table has no paths, so nothing is inherited: each document has the licence that its own text holds."""
     from starloom.llm.licenses import scan
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
-    return scan(docs)
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(None).cast("string").alias("path")))
 
 
 def remainder(modulus: int) -> Column:

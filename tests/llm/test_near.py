@@ -150,3 +150,9 @@ def test_vectors_that_link_with_nothing(spark):
     assert {i for i, r in by.items() if r["n_links"]} == {9, 11, 12}
     assert by[12]["component_id"] == 11 and not by[12]["kept"] and by[None]["kept"]
     assert embeddings.near_duplicates(d.limit(0)).count() == 0
+
+
+def test_vectors_that_share_an_id_keep_their_own_links(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (4, [0.02, 1.0], 0)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"]) for r in got) == [(1, 1), (1, 2), (2, 1), (3, 2), (4, 2)]

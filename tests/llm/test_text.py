@@ -4,6 +4,7 @@ import html
 import math
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter
 
@@ -258,6 +259,45 @@ def test_main_text_of_all_sample_pages(spark, sf):
         assert r["text"] == "\n\n".join(filter(None, blocks)) and r["n_chars"] == len(r["text"])
 
 
+def site(n, marked):
+    """Pages of one host with a notice, a list of links and a closing line of classes that say nothing; the article is marked or not."""
+    out = []
+    for i in range(n):
+        own = [" ".join(prose(500 + 10 * i + k, 30)) for k in range(3)]
+        quote = "<p>A passage that many articles quote.</p>" if i % 2 else ""
+        tag = "article" if marked else "div"
+        notice, closing = "<div class='qq'><p>Read this first.</p><b>Now</b></div>", "<p>Written by the house.</p>"
+        body = f"{notice}<{tag} title='class=ad'><h1>T{i}</h1>{'' if not marked else '<p>Story of the week series.</p>'}<p>{own[0]}</p>{quote}<p>{own[1]}</p><p>{own[2]}</p>{closing}</{tag}><ul class='zz'><li>One</li><li>Two</li></ul>"
+        want = [f"T{i}", own[0], *["A passage that many articles quote."] * (i % 2 and marked), own[1], own[2]]
+        out.append((i, f"https://a.example/{i}", f"<html><body>{body}</body></html>", "\n\n".join(want)))
+    return out
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_templates_are_found_by_their_counts(spark, marked):
+    given = site(12, marked)
+    d = spark.createDataFrame([r[:3] for r in given] * 2, "page_id long, url string, html string")
+    assert {(r["page_id"], r["text"]) for r in pages.extract(d).collect()} == {(r[0], r[3]) for r in given}
+    off = {r["page_id"]: r["text"] for r in pages.extract(d, min_pages=10**9).collect()}
+    assert all("Written by the house." in t for t in off.values())
+    # Counts by host against a plain loop.
+    seen = collections.Counter()
+    for html in {r[2] for r in given}:
+        page = pages.read_page(html)
+        seen.update({(h, e) for h, e, inner in zip(page.hashes, page.edge, page.inner) if not inner})
+    want = {h for (h, e), n in seen.items() if n >= 4 and n >= (0.5 if e else 0.3) * 12}
+    assert {r["h"] for r in pages.template_subtrees(pages.page_subtrees(pages.with_host(d, "page_id", "url", "html"))).collect()} == want
+
+
+def test_adverts_of_any_length_go_and_deep_nesting_is_linear():
+    for n in (3, 3000):
+        page = f"<article><p>Keep <span class='ad'>x <span>{'word ' * n}</span> y</span>this.</p></article>"
+        assert pages.read_page(page).text(set()) == "Keep this."
+    began = time.process_time()
+    assert pages.read_page("<div>a" * 20_000).text(set()).count("a") == 20_000
+    assert time.process_time() - began < 5
+
+
 def test_licences(spark, odd, nothing):
     mit = licenses.TEMPLATES[6][1]
     rows = [

@@ -6,6 +6,7 @@ import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from starloom.llm import bpe, packing
@@ -116,3 +117,9 @@ def test_best_fit_against_a_plain_search(lengths):
         assert used.get(number, 0) == offset
         used[number] = offset + size
     assert sorted(64 - u for u in used.values()) == sorted(rest)
+
+
+def test_pieces_of_one_id_spread_over_blocks(spark):
+    pieces = spark.range(20_000).selectExpr("cast(null as long) as doc_id", "0L as start", "1 + id % 700 as length", "7L as ids_crc32", "1 + id % 700 as doc_tokens")
+    found = packing.pack(pieces).groupBy(F.shiftright("sequence_id", 32).alias("block")).agg(F.count("*").alias("n")).collect()
+    assert len(found) == 10 and max(r["n"] for r in found) < 2_600
