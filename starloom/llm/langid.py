@@ -30,6 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +41,8 @@ UNKNOWN = "und"
 PAD = 10
 #: Bits that a byte takes of which nothing is known.
 UNLEARNED = 8
-#: Numbers that one block of scores holds, at most.
-BLOCK = 4_000_000
+#: Numbers that one block of scores holds, and bytes of the texts that are looked at together, unless one text has more.
+BLOCK, PART = 1_000_000, 1_000_000
 
 
 def four_bytes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -64,14 +65,26 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
+def parts(texts: pa.Array) -> Iterator[slice]:
+    """Ranges of texts with at most PART characters together."""
+    at = size = 0
+    for i, n in enumerate(pc.utf8_length(texts).fill_null(0).to_pylist()):
+        if size and size + n > PART:
+            yield slice(at, i)
+            at, size = i, 0
+        size += n
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
 def count_contexts(rows: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     """lang, code, n: how often each byte followed three others."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
-            for at in range(0, batch.num_rows, 500):
-                part, own = batch.slice(at, 500), langs[at : at + 500]
+            for r in parts(batch.column(1)):
+                part, own = batch.slice(r.start, r.stop - r.start), langs[r]
                 for lang in dict.fromkeys(own):
                     data, starts, sizes = buffers(part.column(1).filter(pa.array(own == lang)))
                     codes, n = np.unique(four_bytes(data, starts, sizes), return_counts=True)
@@ -186,20 +199,25 @@ def learn_words(rows: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE, lang_co
     return ContextTrees(["all", "first", "second"], code, np.concatenate([np.zeros_like(half), 1 + half]), n)
 
 
+def bits_of(trees: ContextTrees, words: pa.Array, tree: np.ndarray) -> np.ndarray:
+    """Bits that each text's words take by the tree of that number; NaN for null."""
+    out = np.full(len(words), np.nan)
+    known = np.flatnonzero(words.is_valid().to_numpy(zero_copy_only=False))
+    there = words.take(pa.array(known))
+    for r in parts(there):
+        out[known[r]] = -trees.totals(there.slice(r.start, r.stop - r.start))[np.arange(r.stop - r.start), tree[known[r]]] / np.log(2)
+    return out
+
+
 def code_bits(spark: SparkSession, trees: ContextTrees, words: Column, tree: Column) -> Column:
     """Bits that each text's words take by the tree of that number; null for null."""
     frozen = spark.sparkContext.broadcast(trees)
 
-    def run(words, tree):
-        out = np.full(len(words), np.nan)
-        own = tree.to_numpy(np.int64)
-        known = np.flatnonzero(words.notna().to_numpy())
-        for at in range(0, len(known), 500):
-            part = known[at : at + 500]
-            out[part] = -frozen.value.totals(pa.array(words.iloc[part], pa.string()))[np.arange(len(part)), own[part]] / np.log(2)
-        return type(tree)(out)
+    @F.arrow_udf("double")
+    def run(words: pa.Array, tree: pa.Array) -> pa.Array:
+        return pa.array(bits_of(frozen.value, words, tree.to_numpy(zero_copy_only=False)))
 
-    return F.nanvl(F.pandas_udf(run, "double", F.PandasUDFType.SCALAR)(words, tree), F.lit(None).cast("double"))
+    return F.nanvl(run(words, tree), F.lit(None).cast("double"))
 
 
 def bounds(rows: DataFrame, trees: ContextTrees, rows_a_language: int = ROWS_A_LANGUAGE, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> dict[str, float]:
@@ -215,24 +233,29 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def identify(docs: DataFrame, model: ContextTrees | None, text_col: str = "text") -> DataFrame:
-    """row (all columns of ``docs``), lang_pred, score of every document."""
+def identify(docs: DataFrame, model: ContextTrees | None, text_col: str = "text", trees: ContextTrees | None = None) -> DataFrame:
+    """row (all columns of ``docs``), lang_pred, score of every document; with ``trees`` also words and bits, the code length of its words by the first of them."""
     rows = docs.select(F.struct("*").alias("row"), F.when(has_letter(F.col(text_col)), F.col(text_col).cast("string")).alias("text"))
+    more = [] if trees is None else ["words", "bits"]
+    if trees is not None:
+        rows = rows.withColumn("words", words_of(F.col("text")))
     if model is None:
-        return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    frozen = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = frozen.value
-        names = np.array([*trees.langs, UNKNOWN], object)
-        for batch in batches:
-            best, score = np.full(batch.num_rows, len(trees.langs)), np.zeros(batch.num_rows)
-            for at in range(0, batch.num_rows, 500):
-                part = batch.column(1).slice(at, 500)
-                known = np.flatnonzero(part.is_valid().to_numpy(zero_copy_only=False))
-                if len(known):
-                    best[at + known], score[at + known] = trees.judge(part.take(pa.array(known)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
-
-    schema = rows.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(run, schema)
+        return rows.withColumn("bits", F.lit(None).cast("double")).select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *more)
+    frozen = docs.sparkSession.sparkContext.broadcast((model, trees))
+
+    # Only texts reach Python, in one pass for both codes; the rows stay where they are.
+    @F.arrow_udf("struct<best:int,score:double,bits:double>")
+    def run(text: pa.Array, words: pa.Array) -> pa.Array:
+        model, trees = frozen.value
+        best, score = np.full(len(text), len(model.langs), np.int32), np.zeros(len(text))
+        known = np.flatnonzero(text.is_valid().to_numpy(zero_copy_only=False))
+        there = text.take(pa.array(known))
+        for r in parts(there):
+            best[known[r]], score[known[r]] = model.judge(there.slice(r.start, r.stop - r.start))
+        bits = np.full(len(text), np.nan) if trees is None else bits_of(trees, words, np.zeros(len(words), np.int64))
+        return pa.StructArray.from_arrays([pa.array(best), pa.array(score), pa.array(bits)], ["best", "score", "bits"])
+
+    names = F.array(*[F.lit(x) for x in (*model.langs, UNKNOWN)])
+    found = rows.withColumn("found", run(F.col("text"), F.col("words") if more else F.lit(None).cast("string")))
+    found = found.withColumns({"lang_pred": F.get(names, F.col("found.best")), "score": F.col("found.score"), "bits": F.nanvl("found.bits", F.lit(None).cast("double"))})
+    return found.select("row", "lang_pred", "score", *more)

@@ -40,7 +40,7 @@ WORDS, PERCENT = 5, 80
 #: Bands, and rows a band. A pair at 0.8 is missed once in 50,000 times.
 BANDS, ROWS = 36, 6
 #: Documents hashed at once, and words whose hashes a process keeps.
-SLICE, KEPT_WORDS = 200, 500_000
+SLICE, KEPT_WORDS = 200, 200_000
 #: Members of a bucket that one task compares at once; two blocks meet at most.
 BLOCK = 512
 #: Standard deviations that the agreement of two signatures may fall below the threshold.

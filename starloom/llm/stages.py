@@ -26,14 +26,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned from the rows' own labels: by score, and by the code length of their words."""
-    found = langid.identify(docs, langid.learn(docs)).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     trees = langid.learn_words(docs)
     bound = F.lit(float(langid.UNLEARNED))
     for lang, rate in langid.bounds(docs, trees).items():
         bound = F.when(F.col("lang_pred") == lang, F.lit(rate)).otherwise(bound)
-    found = found.withColumn("words", langid.words_of(F.col("row.text")))
-    bits = langid.code_bits(spark, trees, F.col("words"), F.lit(0))
-    return found.where(bits <= bound * F.octet_length("words") + SPARE_BITS).select("row.*")
+    found = langid.identify(docs, langid.learn(docs), trees=trees).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return found.where(F.col("bits") <= bound * F.octet_length("words") + SPARE_BITS).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
