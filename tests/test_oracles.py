@@ -5,11 +5,11 @@ import math
 import duckdb
 import pytest
 
-from starloom.plans import catalogues, curves
+from starloom.plans import catalogues, curves, searches, stars
 
 TABLES = "region nation customer supplier part orders lineitem events documents conversations".split()
-QUERIES = curves.QUERIES | catalogues.QUERIES
-ORACLES = curves.ORACLES | catalogues.ORACLES
+QUERIES = curves.QUERIES | catalogues.QUERIES | searches.QUERIES | stars.QUERIES
+ORACLES = curves.ORACLES | catalogues.ORACLES | searches.ORACLES | stars.ORACLES
 
 
 @pytest.fixture(scope="module")
