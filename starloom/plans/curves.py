@@ -199,6 +199,14 @@ def bls_best_period(d):
     return box_search(inject(d, PERIOD, T0, DURATION, 0.5), 1.0, 8.0)
 
 
+@query(None)
+def repeated_signals(d):
+    """Up to two signals of each curve with a box transit put in: the second from the rows off the first."""
+    from starloom.operators.kernels import inject, repeated_search
+
+    return repeated_search(inject(d, PERIOD, T0, DURATION, 0.7), 1.0, 8.0, signals=2, least_sde=3.0)
+
+
 @query(None)
 def dip_events(d):
     """Rows far below their star's running median, each at least half a day from all stronger ones."""
@@ -222,7 +230,7 @@ def injection_recovery(d):
 
     found = None
     for depth in (0.3, 0.6, 0.9):
-        one = box_search(inject(d, PERIOD, T0, DURATION, depth), 2.0, 5.0, blocks=2).withColumn("depth_in", F.lit(depth))
+        one = box_search(inject(d, PERIOD, T0, DURATION, depth), 2.0, 5.0).withColumn("depth_in", F.lit(depth))
         found = one if found is None else found.unionByName(one)
     return found.groupBy("depth_in").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("period") / PERIOD - 1) < 0.01).alias("recovered"))
 
