@@ -37,5 +37,5 @@ def snapshot(spark: SparkSession, folder: str, number: int, like: DataFrame) ->
 
 
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """Counts by event type and window of event time; rows later than ``late`` are dropped by the watermark."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
+    """Counts by event type and window of event time; rows later than ``late`` are dropped by the watermark. Times without a zone count in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
