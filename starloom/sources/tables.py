@@ -27,9 +27,11 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(records, broken files) of a folder of JSON documents."""
-    d = spark.read.schema(f"{schema}, _broken string").option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").json(path).withColumn("file", F.col("_metadata.file_name"))
-    return d.where("_broken is null").drop("_broken"), d.where("_broken is not null").select("file", "_broken")
+    """(records, broken files) of a folder of JSON documents, one a file; a broken file keeps its text and name."""
+    parsed = F.from_json("value", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    d = spark.read.text(path, wholetext=True).select(parsed.alias("r"), F.col("_metadata.file_name").alias("file"))
+    broken = F.col("r").isNull() | F.col("r._broken").isNotNull()
+    return d.where(~broken).select("r.*", "file").drop("_broken"), d.where(broken).select("file", F.col("r._broken").alias("_broken"))
 
 
 def number(text) -> Column:
