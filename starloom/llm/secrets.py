@@ -110,5 +110,6 @@ def spans_text(spans: Column) -> Column:
 def digests(found: DataFrame) -> DataFrame:
     """The counts and strings of a scan."""
     base = F.filter("spans", lambda s: s["k"] < len(BASE))
-    counts = [F.size(F.filter("spans", lambda s, n=n: s["k"] == n)).cast("long").alias(f"n_{k}") for n, k in enumerate(BASE)]
+    of_kind = lambda n: lambda s: s["k"] == n  # noqa: E731  a second parameter would be the place in the array
+    counts = [F.size(F.filter("spans", of_kind(n))).cast("long").alias(f"n_{k}") for n, k in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
