@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from starloom.operators.shared import checkpointed
+
 #: The sketch's rank error is one in so many; groups of up to FEW times as many rows are counted whole.
 ACCURACY, FEW = 1000, 4
 
@@ -57,7 +59,7 @@ def with_medians(d: DataFrame, keys: tuple[str, ...], value: Column, name: str)
 def robust_sigmas(d: DataFrame, keys: tuple[str, ...], value: Column, factor: float = 1.4826) -> DataFrame:
     """keys, n, median, sigma: ``factor`` times the middle distance from the middle. ``d`` is read several times."""
     d = d.select(*keys, value.alias("_y"))
-    of = medians(d, keys, F.col("_y"), "median").withColumnsRenamed({k: f"_{k}" for k in keys})
+    of = checkpointed(medians(d, keys, F.col("_y"), "median")).withColumnsRenamed({k: f"_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     away = d.join(of.drop("n"), same).select(*keys, F.abs(F.col("_y") - F.col("median")).alias("_d"))
     return medians(away, keys, F.col("_d"), "_away").drop("n").join(of, same).select(*keys, "n", "median", (F.col("_away") * factor).alias("sigma"))

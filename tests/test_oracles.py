@@ -5,11 +5,11 @@ import math
 import duckdb
 import pytest
 
-from starloom.plans import catalogues, curves, pixels, searches, stars
+from starloom.plans import catalogues, curves, dips, pixels, searches, stars
 
 TABLES = "region nation customer supplier part orders lineitem events documents conversations".split()
-QUERIES = curves.QUERIES | catalogues.QUERIES | searches.QUERIES | stars.QUERIES | pixels.QUERIES
-ORACLES = curves.ORACLES | catalogues.ORACLES | searches.ORACLES | stars.ORACLES | pixels.ORACLES
+QUERIES = curves.QUERIES | catalogues.QUERIES | searches.QUERIES | stars.QUERIES | pixels.QUERIES | dips.QUERIES
+ORACLES = curves.ORACLES | catalogues.ORACLES | searches.ORACLES | stars.ORACLES | pixels.ORACLES | dips.ORACLES
 
 
 @pytest.fixture(scope="module")
