@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from starloom.functions.astro import in_transit, phase
+from starloom.operators.quantiles import robust_sigmas
 
 SECTOR = ("star", "sector")
 
@@ -25,15 +26,14 @@ def median_normalised(d: DataFrame, keys: tuple[str, ...] = SECTOR) -> DataFrame
 
 def robust_sigma(d: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """keys, n, median, sigma: 1.4826 times the median distance from the median."""
-    m = d.withColumn("m", F.median("flux").over(over(keys)))
-    return m.groupBy(*keys).agg(F.count("*").alias("n"), F.first("m").alias("median"), (F.median(F.abs(F.col("flux") - F.col("m"))) * 1.4826).alias("sigma"))
+    return robust_sigmas(d, keys, F.col("flux"))
 
 
 def clip_upward(d: DataFrame, keys: tuple[str, ...] = SECTOR, limit: float = 3.0) -> DataFrame:
     """Rows strictly below median + ``limit`` robust sigmas."""
-    m = d.withColumn("m", F.median("flux").over(over(keys)))
-    m = m.withColumn("s", F.median(F.abs(F.col("flux") - F.col("m"))).over(over(keys)) * 1.4826)
-    return m.where(F.col("flux") < F.col("m") + limit * F.col("s")).drop("m", "s")
+    s = robust_sigmas(d, keys, F.col("flux")).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("median").alias("m"), F.col("sigma").alias("s"))
+    m = d.join(s, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return m.where(F.col("flux") < F.col("m") + limit * F.col("s")).drop("m", "s", *[f"_{k}" for k in keys])
 
 
 def time_bins(d: DataFrame, width: float | Column, keys: tuple[str, ...] = SECTOR) -> DataFrame:

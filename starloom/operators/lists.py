@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from starloom.operators.shared import checkpointed
+
 
 def top_per_group(d: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each group; Spark cuts groups before the shuffle too."""
@@ -106,3 +108,18 @@ def token_bucket(hits: DataFrame, per_minute: float) -> DataFrame:
         return fold(key, [pdf.sort_values(["t", "seq"])])
 
     return hits.select("key", "seq", "t").groupBy("key").applyInPandas(run, hits.select("key", "seq", "t").schema.simpleString()[7:-1].replace(":", " ") + ", allowed boolean")
+
+
+def placed(d: DataFrame, keys: list[str], order: list, name: str = "rank") -> DataFrame:
+    """Adds the place of each row in its group (in all rows without keys), however large: rows are dealt by ranges of the order, ranked in their range and moved on by the rows in the ranges before.
+
+    ``order`` ends with something that tells rows apart, else a group of ties stays in one range.
+    """
+    n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = checkpointed(d.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    before = p.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    before = before.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_{k}") for k in keys], "_before")
+    own = p.withColumn("_own", F.row_number().over(W.partitionBy("_part", *keys).orderBy(*order)))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_part") == F.col("_p")]
+    return own.join(before, same).withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_p", "_own", "_before", *[f"_{k}" for k in keys])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from starloom.operators.kernels import shared_checkpoint
+from starloom.operators.shared import checkpointed
 from starloom.operators.signals import edge_mask, interpolated
 
 #: Sigmas, sigmas an hour, days.
@@ -58,7 +58,7 @@ def clipped_quadratic(d: DataFrame, key: str, x: Column, y: Column, rounds: int
             f"(s0*(q1*s4-q2*s3) - q0*(s1*s4-s2*s3) + s2*(s1*q2-s2*q1)) / {det} as b",
             f"(s0*(s2*q2-s3*q1) - s1*(s1*q2-s2*q1) + q0*(s1*s3-s2*s2)) / {det} as c",
         )
-        fit = shared_checkpoint(used.join(new, key).groupBy(key, "a", "b", "c").agg((F.lit(1.4826) * F.median(F.abs(r))).alias("s")))
+        fit = checkpointed(used.join(new, key).groupBy(key, "a", "b", "c").agg((F.lit(1.4826) * F.median(F.abs(r))).alias("s")))
     near = F.abs(r) < limit * F.col("s")
     return d.join(fit, key).groupBy(key, "a", "b", "c").agg(F.stddev_pop(F.when(near, r)).alias("rms"), F.count_if(~near).alias("clipped"))
 

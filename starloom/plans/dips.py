@@ -93,3 +93,85 @@ def single_dips(d):
     d = masked(d).where("flux is not null")
     found = dips.single_dips(d, ((2.0, 3.0), (4.0,)), 60.0, GAP, most=5, least_ses=2.5, least_coverage=0.5, usual=0.5, day=10.0, day_rows=5, noise_rows=20, gap_d=GAP)
     return dips.clear_of_edges(found, d, 60.0, 0.5, GAP)
+
+
+LISTED = "struct(star, 1L AS entry, 3.0D AS period, 1.0D + star % 3 AS t0, CASE WHEN star % 4 = 0 THEN NULL ELSE 0.5D END AS duration, 0.01D * (star % 5) AS t0_err, 1e-6D AS period_err, star % 7 = 0 AS moving)"
+
+
+@query(None)
+def located_masks(d):
+    """Rows in a transit of the signal that is listed for their star, where it is predicted and where it is found."""
+    from starloom.operators.known import known_mask
+
+    d = d.where("flux is not null")
+    listed = d.select("star").distinct().selectExpr(f"{LISTED} AS k").select("k.*")
+    return known_mask(d, listed, WINDOW, GAP)[0].select("event_id", "masked")
+
+
+DIPS = ", u AS (SELECT star, event_id, t AS tc, 0.25 + event_id % 4 * 0.25 AS duration FROM c WHERE flux > 120)"
+BEGUN = f""", g AS (SELECT star, t, CASE WHEN t - lag(t) OVER (PARTITION BY star ORDER BY t) > {GAP} THEN 1 ELSE 0 END AS fresh FROM c),
+ q AS (SELECT star, t, sum(fresh) OVER (PARTITION BY star ORDER BY t) AS run FROM g), r AS (SELECT star, min(t) AS begins, max(t) AS ends FROM q GROUP BY star, run)"""
+
+
+def data_runs(d):
+    from starloom.operators.chunks import runs
+
+    return runs(d.select("star", "t"), GAP, 30.0).select("star", "begins", "ends").distinct()
+
+
+def strong_dips(d):
+    return d.where("flux > 120").selectExpr("star", "event_id", "t tc", "cast(0.25 + event_id % 4 * 0.25 as double) duration")
+
+
+#: Every transit of every candidate is listed and held against every run.
+COVERED = "least(r.ends, k.at + duration / 2) - greatest(r.begins, k.at - duration / 2) >= duration / 2"
+
+
+@query(f"{DIPS}{BEGUN}, p AS (SELECT u.*, CAST(unnest([1.5, 2.75, 7.0, 23.0]) AS DOUBLE) AS period FROM u), k AS (SELECT p.*, tc + i * period AS at FROM (SELECT *, unnest(range(-30, 31)) AS i FROM p) p WHERE i <> 0) SELECT p.event_id, p.period, count(k.at) FILTER (WHERE r.star IS NOT NULL) AS n_covered, count(k.at) FILTER (WHERE r.star IS NOT NULL) = 0 AS allowed FROM p LEFT JOIN (k LEFT JOIN r ON r.star = k.star AND {COVERED}) ON p.event_id = k.event_id AND p.period = k.period GROUP BY 1, 2")
+def periods_allowed(d):
+    """Trial periods of strong rows, and how many other transits each would have put on the star's data."""
+    from starloom.operators.known import allowed_periods
+
+    c = strong_dips(d).withColumn("period", F.explode(F.array(*map(F.lit, (1.5, 2.75, 7.0, 23.0)))))
+    return allowed_periods(c, data_runs(d)).select("event_id", "period", "n_covered", "allowed")
+
+
+@query(f"{DIPS}{BEGUN}, o AS (SELECT *, row_number() OVER (PARTITION BY star ORDER BY tc, event_id) AS i FROM u), w AS (SELECT a.star, a.event_id AS pair, a.tc, b.tc AS second, a.duration FROM o a JOIN o b ON a.star = b.star AND b.i = a.i + 1 WHERE b.tc - a.tc >= 1), p AS (SELECT *, (second - tc) / n AS period FROM (SELECT *, unnest(range(1, CAST(floor(second - tc) AS BIGINT) + 1)) AS n FROM w)), k AS (SELECT p.*, tc + i * period AS at FROM (SELECT *, unnest(range(-31, 62)) AS i FROM p) p WHERE i <> 0 AND i <> n) SELECT p.pair, p.n, " + sql_r("any_value(p.period)") + f" AS period, count(k.at) FILTER (WHERE r.star IS NOT NULL) AS n_covered, count(k.at) FILTER (WHERE r.star IS NOT NULL) = 0 AS allowed FROM p LEFT JOIN (k LEFT JOIN r ON r.star = k.star AND {COVERED}) ON p.pair = k.pair AND p.n = k.n GROUP BY 1, 2")
+def aliases_against_coverage(d):
+    """Periods that two neighbouring strong rows of a star allow."""
+    from pyspark.sql import Window
+
+    from starloom.operators.known import pair_aliases
+
+    w = Window.partitionBy("star").orderBy("tc", "event_id")
+    pairs = strong_dips(d).withColumn("second", F.lead("tc").over(w)).where("second is not null").select("star", F.col("event_id").alias("pair"), F.col("tc").alias("first"), "second", "duration")
+    return pair_aliases(pairs, data_runs(d)).select("pair", "n", rounded(F.col("period")).alias("period"), "n_covered", "allowed")
+
+
+@query(None)
+def period_posteriors(d):
+    """5, 50 and 95 % of the period of each strong row taken as a dip, by its own seeded draws."""
+    from starloom.operators.known import period_posterior
+
+    dips_of = d.where("flux > 150").selectExpr("event_id event", "0.1D + event_id % 5 * 0.05D duration", "0.001D * (1 + event_id % 9) depth", "0.5D + star % 4 * 0.5D density", "CASE WHEN star % 2 = 0 THEN 0.25D ELSE 0.5D END density_err")
+    return period_posterior(dips_of, draws=20_000)
+
+
+SKY = "(SELECT {k} AS id, {k} * 7919 % 36000 / 100.0::DOUBLE AS ra, {k} * 104729 % 18000 / 100.0::DOUBLE - 90 AS dec FROM {t})"
+FOOTPRINTS = f"""WITH s AS (SELECT id AS star, radians(ra) AS ra, radians(dec) AS dec FROM {SKY.format(k='c_custkey', t='customer')}),
+ k AS (SELECT id % 13 AS sector, radians(ra) AS ca, radians(dec) AS cd, radians(id * 37 % 360) AS roll FROM {SKY.format(k='s_suppkey', t='supplier')}),
+ v AS (SELECT star, sector, roll, cos(dec) * sin(ra - ca) AS e, sin(dec) * cos(cd) - cos(dec) * sin(cd) * cos(ra - ca) AS n, sin(dec) * sin(cd) + cos(dec) * cos(cd) * cos(ra - ca) AS z FROM s, k),
+ p AS (SELECT star, sector, z, abs((e * cos(roll) + n * sin(roll)) / z) AS x, abs((n * cos(roll) - e * sin(roll)) / z) AS y FROM v)
+SELECT DISTINCT star, sector FROM p WHERE z > cos(radians(20)) AND x <= tan(radians(12)) AND y <= tan(radians(12)) AND x >= tan(radians(0.3)) AND y >= tan(radians(0.3))"""
+
+
+def footprints(spark, sf_dir):
+    """Sectors whose cameras (placed by supplier) saw each star (placed by customer)."""
+    from starloom.operators.known import observed
+    from starloom.plans.catalogues import placed
+
+    cameras = placed(table(spark, sf_dir, "supplier"), "s_suppkey").withColumns({"sector": F.col("id") % 13, "roll": F.col("id") * 37 % 360})
+    return observed(placed(table(spark, sf_dir, "customer"), "c_custkey").withColumnRenamed("id", "star"), cameras)
+
+
+QUERIES["footprints"], ORACLES["footprints"] = footprints, FOOTPRINTS

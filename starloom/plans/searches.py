@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from starloom.functions.astro import rounded
 from starloom.operators import curves as ops
+from starloom.operators import quantiles
 from starloom.operators import signals as sig
 from starloom.plans.curves import DURATION, PERIOD, PHASE, T0, C, sql_r
 from starloom.sources.tables import curve, table
@@ -30,8 +31,7 @@ def good_cadences(d):
 
 @query(", m AS (SELECT *, median(flux) OVER (PARTITION BY star, sector) AS med FROM c) SELECT event_id FROM m WHERE flux / med > 0.5")
 def dropout_filter(d):
-    m = ops.median_normalised(d)
-    return sig.good_rows(m.drop("flux").withColumnRenamed("norm", "flux") if "norm" in m.columns else m, 0.5).select("event_id")
+    return sig.good_rows(ops.median_normalised(d), 0.5).select("event_id")
 
 
 @query(", g AS (SELECT *, CASE WHEN coalesce(t - lag(t) OVER w > 2, true) THEN 1 ELSE 0 END AS fresh FROM c WINDOW w AS (PARTITION BY star ORDER BY t, event_id)), r AS (SELECT *, sum(fresh) OVER (PARTITION BY star ORDER BY t, event_id) AS run FROM g), e AS (SELECT *, min(t) OVER (PARTITION BY star, run) AS a, max(t) OVER (PARTITION BY star, run) AS b FROM r) SELECT event_id, t < a + 0.25 OR t > b - 0.25 AS masked FROM e")
@@ -68,17 +68,17 @@ def interpolate_onto_times(d):
 
 @query(", s AS (SELECT star, list_sort(list(flux)) AS v FROM c GROUP BY star) SELECT star, v[CAST(floor(0.002 * (len(v) - 1) + 0.5) AS INT) + 1] AS low, v[CAST(floor(0.998 * (len(v) - 1) + 0.5) AS INT) + 1] AS high, v[CAST(floor(len(v) * 0.97) AS INT) + 1] AS top, v[len(v) // 2 + 1] AS middle FROM s")
 def display_ranges(d):
-    s = d.groupBy("star").agg(F.array_sort(F.collect_list("flux")).alias("v"))
-    top = F.get("v", F.floor(F.size("v") * 0.97).cast("int"))
-    return s.select("star", sig.nearest_rank(F.col("v"), 0.002).alias("low"), sig.nearest_rank(F.col("v"), 0.998).alias("high"), top.alias("top"), sig.upper_median(F.col("v")).alias("middle"))
+    top = (0.97, lambda n: F.floor(n * 0.97))
+    found = quantiles.quantiles(d, ("star",), F.col("flux"), {"low": quantiles.nearest_rank(0.002), "high": quantiles.nearest_rank(0.998), "top": top, "middle": quantiles.upper_middle()})
+    return found.drop("n")
 
 
 @query(f", f AS (SELECT star, CAST(floor(({PHASE} + {PERIOD} / 2) / {PERIOD} * 12) AS BIGINT) AS bin, flux FROM c), g AS (SELECT star, bin, list_sort(list(flux)) AS v FROM f GROUP BY star, bin) SELECT star, bin, v[len(v) // 2 + 1] AS middle FROM g WHERE len(v) >= 2 AND bin < 12")
 def folded_middles(d):
     """Middle value of each bin of phase that holds enough rows."""
     away = F.pmod(F.col("t") - T0 + PERIOD / 2, F.lit(PERIOD))
-    b = d.withColumn("bin", F.floor(away / PERIOD * 12)).where("bin < 12").groupBy("star", "bin").agg(F.collect_list("flux").alias("v")).where(F.size("v") >= 2)
-    return b.select("star", "bin", sig.upper_median(F.col("v")).alias("middle"))
+    b = d.withColumn("bin", F.floor(away / PERIOD * 12)).where("bin < 12")
+    return quantiles.quantiles(b, ("star", "bin"), F.col("flux"), {"middle": quantiles.upper_middle()}).where("n >= 2").drop("n")
 
 
 INSIDE = f"p AS (SELECT *, {PHASE} AS away, floor((t - {T0}) / {PERIOD} + 0.5) AS epoch FROM c)"

@@ -65,14 +65,27 @@ def star_tiers(s):
 @on_stars(f", t AS (SELECT *, {TIER} AS tier, {GROUP} AS grp FROM s) SELECT tic, row_number() OVER (PARTITION BY grp, tier ORDER BY coalesce(rad, 99.0), coalesce(tmag, 99.0), tic) AS rank, grp, tier FROM t")
 def target_ranks(s):
     """Rank within a group and tier, which come first in the order: a star's place follows from the sizes of those before its own."""
-    from starloom.operators.lists import top_per_group
+    from starloom.operators.lists import placed
+
+    return placed(grouped(s), ["grp", "tier"], [*stars.rank_order("grp", "tier", "rad", "tmag"), col("tic")]).select("tic", "rank", "grp", "tier")
 
+
+def grouped(s):
+    """Stars with their group and tier."""
     quiet = stars.is_quiet(col("lumclass"), col("logg"), col("teff"), col("contratio"))
-    t = s.withColumns({"tier": stars.bright_tier(col("lumclass"), col("logg"), col("teff"), col("rad")), "grp": stars.search_group(col("n_sectors"), col("tmag"), quiet)})
-    return top_per_group(t, ["grp", "tier"], [*stars.rank_order("grp", "tier", "rad", "tmag"), col("tic")], 2**31 - 1).select("tic", col("rank").cast("long").alias("rank"), "grp", "tier")
+    return s.withColumns({"tier": stars.bright_tier(col("lumclass"), col("logg"), col("teff"), col("rad")), "grp": stars.search_group(col("n_sectors"), col("tmag"), quiet)})
+
 
+@on_stars(f", t AS (SELECT *, {TIER} AS tier, {GROUP} AS grp FROM s) SELECT tic, row_number() OVER (ORDER BY grp, tier, coalesce(rad, 99.0), coalesce(tmag, 99.0), tic) AS rank FROM t")
+def overall_ranks(s):
+    """One rank over all stars: group, tier, size, brightness."""
+    from starloom.operators.lists import placed
 
-ORACLES["target_ranks"] = ORACLES["target_ranks"].replace("FROM customer) , t AS", "FROM customer), t AS")
+    return placed(grouped(s), [], [*stars.rank_order("grp", "tier", "rad", "tmag"), col("tic")]).select("tic", "rank")
+
+
+for _name in ("target_ranks", "overall_ranks"):
+    ORACLES[_name] = ORACLES[_name].replace("FROM customer) , t AS", "FROM customer), t AS")
 
 
 @on_stars("SELECT tic, " + sql_r("CASE WHEN rho > 0 THEN rho WHEN rad > 0 AND mass > 0 THEN mass / (rad * rad * rad) WHEN rad > 0 AND coalesce(lumclass, 'DWARF') = 'DWARF' AND rad < 1.5 THEN 1 / (rad * rad) END") + " AS density, CASE WHEN rho > 0 THEN 'density' WHEN rad > 0 AND mass > 0 THEN 'mass and radius' WHEN rad > 0 AND coalesce(lumclass, 'DWARF') = 'DWARF' AND rad < 1.5 THEN 'radius with M = R assumed' ELSE 'no radius' END AS source FROM s")
@@ -244,7 +257,12 @@ def failures_since_change(orders):
 
 @query("SELECT o_orderpriority AS queue, avg(o_totalprice) AS mean, list_sort(list(o_totalprice))[count(*) // 2 + 1] AS middle, count(*) FILTER (o_orderstatus = 'F') AS n_failed FROM orders GROUP BY 1", "orders")
 def throughput_rates(orders):
-    return orders.groupBy(col("o_orderpriority").alias("queue")).agg(F.avg("o_totalprice").alias("_m"), ops.upper_median(F.collect_list("o_totalprice")).alias("middle"), F.count_if(col("o_orderstatus") == "F").alias("n_failed")).select("queue", rounded(col("_m"), 2).alias("mean"), "middle", "n_failed")
+    from starloom.operators.quantiles import quantiles, upper_middle
+
+    queues = orders.select(col("o_orderpriority").alias("queue"), "o_totalprice", "o_orderstatus")
+    middles = quantiles(queues, ("queue",), col("o_totalprice"), {"middle": upper_middle()}).drop("n")
+    sums = queues.groupBy("queue").agg(rounded(F.avg("o_totalprice"), 2).alias("mean"), F.count_if(col("o_orderstatus") == "F").alias("n_failed"))
+    return sums.join(middles, "queue").select("queue", "mean", "middle", "n_failed")
 
 
 ORACLES["throughput_rates"] = ORACLES["throughput_rates"].replace("avg(o_totalprice) AS mean", sql_r("avg(o_totalprice)", 2) + " AS mean")

@@ -139,3 +139,32 @@ def test_quantiles_of_groups_of_any_size(spark, monkeypatch):
         place = lambda x: s[int(np.floor((len(s) - 1) * x + 0.5))]
         assert (got[k]["low"], got[k]["high"], got[k]["up"], got[k]["q"]) == (place(0.002), place(0.998), s[len(s) // 2], s[int(len(s) * 0.25)]), k
         assert sigma[k]["n"] == len(v) and sigma[k]["median"] == np.median(v) and np.isclose(sigma[k]["sigma"], 1.4826 * np.median(np.abs(v - np.median(v))))
+
+
+def test_chance_of_large_chi_squares(spark):
+    """Against the exact sum in logs, below and beyond the degrees of freedom that are summed."""
+    import math
+
+    from starloom.operators.signals import chi_square_tail
+
+    def exact(chi, dof):
+        terms = [-chi / 2 + i * math.log(chi / 2) - math.lgamma(i + 1) for i in range(dof // 2)]
+        top = max(terms)
+        return math.exp(top) * sum(math.exp(x - top) for x in terms)
+
+    rows = [(float(dof * share), dof) for dof in (2, 10, 398, 402, 1000, 5000) for share in (0.8, 0.95, 1.0, 1.05, 1.2)]
+    for r in spark.createDataFrame(rows, "chi double, dof int").select("*", chi_square_tail(F.col("chi"), F.col("dof")).alias("p")).collect():
+        assert abs(r["p"] - exact(r["chi"], r["dof"])) < (1e-9 if r["dof"] <= 400 else 2e-4), r
+
+
+def test_places_over_all_rows(spark):
+    from starloom.operators.lists import placed
+
+    rng = np.random.default_rng(3)
+    rows = [(int(k), float(x) if i % 9 else None, i) for i, (k, x) in enumerate(zip(rng.integers(0, 3, 500), rng.integers(0, 40, 500)))]
+    d = spark.createDataFrame(rows, "k int, x double, i int").repartition(4)
+    order = [F.col("x").asc_nulls_last(), F.col("i")]
+    key = lambda r: (r[1] is None, r[1] or 0, r[2])
+    assert {r["i"]: r["rank"] for r in placed(d, [], order).collect()} == {r[2]: n for n, r in enumerate(sorted(rows, key=key), 1)}
+    want = {r[2]: n for k in range(3) for n, r in enumerate(sorted((r for r in rows if r[0] == k), key=key), 1)}
+    assert {r["i"]: r["rank"] for r in placed(d, ["k"], order).collect()} == want
