@@ -175,3 +175,70 @@ def footprints(spark, sf_dir):
 
 
 QUERIES["footprints"], ORACLES["footprints"] = footprints, FOOTPRINTS
+
+
+#: Each star's own ephemeris, and where its rows stand to it.
+OWN = """, g AS (SELECT star, 2.0 + star % 5 * 0.5 AS period, 1.0 + star % 3 * 0.25 AS t0, 0.6 + star % 2 * 0.2 AS duration, 1 AS signal FROM (SELECT DISTINCT star FROM c)),
+ r AS (SELECT c.star, signal, t, flux, period, duration, abs((((t - t0 + period / 2) % period) + period) % period - period / 2) AS away, CAST(round_even((t - t0) / period, 0) AS BIGINT) AS epoch FROM c JOIN g ON c.star = g.star WHERE flux IS NOT NULL)"""
+
+
+def noise_sql(name: str, rows: str) -> str:
+    return f""", {name}0 AS (SELECT *, floor((t - min(t) OVER (PARTITION BY star)) / duration) AS bin FROM r WHERE {rows}), {name}1 AS (SELECT star, bin, avg(flux) AS mean, count(*) AS k FROM {name}0 GROUP BY 1, 2),
+ {name}2 AS (SELECT *, median(k) OVER (PARTITION BY star) AS usual FROM {name}1), {name}3 AS (SELECT star, any_value(usual) AS usual, median(k) AS usual_full, count(*) AS bins, 1.4826 * mad(mean) AS bin_sigma FROM {name}2 WHERE k >= 0.5 * usual GROUP BY star),
+ {name} AS (SELECT x.star, n, middle, sigma, usual, usual_full, bins, bin_sigma, CASE WHEN n > 50 AND bins >= 10 AND sigma > 0 THEN greatest(1.0, bin_sigma / (sigma / sqrt(usual_full))) ELSE 1.0 END AS beta FROM (SELECT star, count(*) AS n, median(flux) AS middle, 1.4826 * mad(flux) AS sigma FROM {name}0 GROUP BY star) x JOIN {name}3 USING (star))"""
+
+
+INSIDE = "away < duration / 2"
+STATS = (
+    OWN
+    + noise_sql("w", "away >= duration")
+    + noise_sql("v", "away >= 0.75 * duration")
+    + f""", s AS (SELECT star, avg(flux) FILTER ({INSIDE}) AS m_in, count(*) FILTER ({INSIDE}) AS n_in, avg(flux) FILTER (NOT {INSIDE}) AS m_out, count(*) FILTER (NOT {INSIDE}) AS n_out, avg(flux) FILTER ({INSIDE} AND epoch % 2 <> 0) AS m_odd, count(*) FILTER ({INSIDE} AND epoch % 2 <> 0) AS n_odd, avg(flux) FILTER ({INSIDE} AND epoch % 2 = 0) AS m_even, count(*) FILTER ({INSIDE} AND epoch % 2 = 0) AS n_even,
+ count(DISTINCT epoch) FILTER ({INSIDE}) AS n_transits, CASE WHEN mad(flux) > 0 THEN 1.4826 * mad(flux) ELSE 1e-3 END AS dy FROM r GROUP BY star),
+ z AS (SELECT s.*, coalesce(v.beta, 1.0) * dy AS scale, CASE WHEN w.n >= 20 THEN greatest(CASE WHEN w.bins > 10 THEN w.bin_sigma ELSE w.sigma END, w.sigma / sqrt(w.usual)) END AS spread FROM s LEFT JOIN v ON s.star = v.star LEFT JOIN w ON s.star = w.star WHERE n_in > 0 AND n_out > 0)"""
+)
+
+
+def own_signals(d):
+    return d.select("star").distinct().selectExpr("star", "1 AS signal", "2.0D + star % 5 * 0.5D AS period", "1.0D + star % 3 * 0.25D AS t0", "0.6D + star % 2 * 0.2D AS duration")
+
+
+def shortened(e, *names):
+    return e.withColumns({n: rounded(F.col(n), 3) for n in names})
+
+
+@query(STATS + " SELECT star, " + ", ".join(sql_r(x, 3) + f" AS {n}" for n, x in {"depth": "m_out - m_in", "depth_err": "scale * sqrt(1.0 / n_in + 1.0 / n_out)", "odd": "m_out - m_odd", "odd_err": "CASE WHEN n_odd > 0 THEN scale * sqrt(1.0 / n_odd + 1.0 / n_out) END", "even": "m_out - m_even", "even_err": "CASE WHEN n_even > 0 THEN scale * sqrt(1.0 / n_even + 1.0 / n_out) END", "snr": "CASE WHEN spread > 0 THEN (m_out - m_in) / (spread / sqrt(n_transits)) ELSE 0.0 END"}.items()) + ", n_transits FROM z")
+def signal_statistics(d):
+    """Depths, errors with red noise, transits and SNR of a signal on each star, each at its own ephemeris."""
+    from starloom.operators.measure import statistics
+
+    return shortened(statistics(d.where("flux is not null"), own_signals(d)), "depth", "depth_err", "odd", "odd_err", "even", "even_err", "snr").drop("signal")
+
+
+NEAR = "away > 0.75 * duration AND away < least(2.5 * duration, 0.45 * period)"
+
+
+@query(OWN + noise_sql("v", "away >= 0.75 * duration") + f", e AS (SELECT star, epoch, count(*) FILTER ({INSIDE}) AS n_in, avg(flux) FILTER ({INSIDE}) AS m_in, count(*) FILTER ({NEAR}) AS n_near, median(flux) FILTER ({NEAR}) AS local FROM r GROUP BY 1, 2), a AS (SELECT star, 1.4826 * mad(flux) AS every FROM r GROUP BY star), q AS (SELECT e.*, coalesce(middle, 1.0) AS base, CASE WHEN coalesce(v.n, 0) > 10 THEN sigma ELSE every END * coalesce(beta, 1.0) AS scale FROM e JOIN a USING (star) LEFT JOIN v USING (star) WHERE n_in >= 3) SELECT star, epoch, n_in, " + sql_r("CASE WHEN n_near >= 5 THEN local ELSE base END - m_in", 3) + " AS depth, " + sql_r("scale * sqrt(1.0 / n_in + CASE WHEN n_near >= 5 THEN 1.0 / n_near ELSE 0 END)", 3) + " AS err FROM q")
+def signal_epochs(d):
+    """Depth of every epoch of each star's own signal against its local baseline, else against all rows out of transit."""
+    from starloom.operators.measure import epoch_depths
+
+    return shortened(epoch_depths(d.where("flux is not null"), own_signals(d)), "depth", "err").drop("signal")
+
+
+@query(None)
+def searched_and_judged(d):
+    """From search to failed stage in one plan: each star's best box, measured at its own ephemeris and put through the stages."""
+    from starloom.operators import curves as ops
+    from starloom.operators import measure
+    from starloom.operators.kernels import box_search
+    from starloom.operators.shared import checkpointed
+
+    d = d.where("flux is not null")
+    found = checkpointed(box_search(d, 1.0, 8.0)).withColumn("signal", F.lit(1))
+    stats = checkpointed(measure.statistics(d, found))
+    parity = measure.odd_even(stats, measure.epoch_depths(d, found))
+    j = stats.join(found.select(F.col("star").alias("f_star"), "period", "t0", "duration", "sde"), F.col("star").eqNullSafe(F.col("f_star"))).drop("f_star")
+    j = j.join(parity.select(F.col("star").alias("p_star"), "sigmas"), F.col("star").eqNullSafe(F.col("p_star")), "left").drop("p_star")
+    j = j.withColumns({"n_failed": F.coalesce((F.col("sigmas") > measure.ODD_EVEN_SIGMA).cast("int"), F.lit(0)), "known": F.lit(False), "neighbour": F.lit(False)})
+    return j.withColumn("failed_stage", ops.failed_stage(3.0, 3.0, 30.0, 3)).drop("known", "neighbour", "signal")
