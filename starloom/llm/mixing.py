@@ -228,8 +228,9 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHA
     total = sum(s.quota for s in sources)
     shards = max(1, -(-total // shard_blocks))
     pieces = drawn_pieces(with_begin(documents.where("size > 0")), block_words)
-    # A block's number is drawn once, so rows of one source spread over all tasks.
-    placed = pieces.join(plan_blocks(spark, sources, shards, seed).withColumnsRenamed({"rank": "p_rank", "drawn": "p_drawn"}), (F.col("rank") == F.col("p_rank")) & (F.col("drawn") == F.col("p_drawn"))).drop("p_rank", "p_drawn")
+    # The plan grows with the input, which Spark's guess of its size doesn't know. A block's number is drawn once, so rows of one source spread over all tasks.
+    plan = plan_blocks(spark, sources, shards, seed).withColumnsRenamed({"rank": "p_rank", "drawn": "p_drawn"}).hint("merge")
+    placed = pieces.join(plan, (F.col("rank") == F.col("p_rank")) & (F.col("drawn") == F.col("p_drawn"))).drop("p_rank", "p_drawn")
     order = [F.xxhash64(F.lit(seed + 1), "doc_id", "rank", "drawn", "start"), "rank", "drawn", "start", "row"]
     position = F.row_number().over(W.partitionBy("shard").orderBy(*order)) - 1
     return Mix(documents.select("row", "doc_id", "source", "size", "source_size", "target"), placed.withColumn("position", position))
