@@ -242,3 +242,17 @@ def searched_and_judged(d):
     j = j.join(parity.select(F.col("star").alias("p_star"), "sigmas"), F.col("star").eqNullSafe(F.col("p_star")), "left").drop("p_star")
     j = j.withColumns({"n_failed": F.coalesce((F.col("sigmas") > measure.ODD_EVEN_SIGMA).cast("int"), F.lit(0)), "known": F.lit(False), "neighbour": F.lit(False)})
     return j.withColumn("failed_stage", ops.failed_stage(3.0, 3.0, 30.0, 3)).drop("known", "neighbour", "signal")
+
+
+@query("SELECT event_id, CASE event_id % 8 WHEN 1 THEN 'tic' WHEN 2 THEN 'missing: t0_btjd' WHEN 3 THEN 'duration_h' WHEN 4 THEN 'period_d' WHEN 5 THEN 'not an object' WHEN 6 THEN 'id' END AS reason, CASE WHEN event_id % 8 IN (0, 7) THEN (1 + event_id % 9) / 2.0 END AS best_radius, CASE WHEN event_id % 8 IN (0, 7) THEN 1 END AS checks_passed, CASE WHEN event_id % 8 IN (0, 7) THEN 2 END AS checks_total FROM c")
+def record_reasons(d):
+    """Nested records of every row, judged; the SQL knows how each was spoilt."""
+    from starloom.operators.records import judged
+
+    e = F.col("event_id") % 8
+    text = F.format_string(
+        '{"tic": %s, "t0_btjd": %s, "duration_h": %s, "period_d": %s, "checks": [{"passed": true}, {"passed": null}, {"passed": false}], "radius_low": 1, "radius_high": %s}',
+        (F.col("star") + (e == 1).cast("int")).cast("string"), F.when(e == 2, F.lit('"1.5"')).otherwise(F.lit("1.5")), F.when(e == 3, F.lit("0")).otherwise(F.lit("2.5")), F.when(e == 4, F.lit("-1")).when(e == 7, F.lit("null")).otherwise(F.lit("3")), (F.col("event_id") % 9).cast("string"),
+    )
+    d = d.select("event_id", F.concat(F.col("star").cast("string"), F.when(e == 6, F.lit("-1")).otherwise(F.lit("_1"))).alias("id"), F.when(e == 5, F.lit("[1, NaN")).otherwise(text).alias("record"))
+    return judged(d).select("event_id", "reason", "best_radius", "checks_passed", "checks_total")
