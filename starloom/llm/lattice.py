@@ -6,10 +6,11 @@ a forward recursion in logs. The vocabulary at hand is a BPE one whose scores ar
 count as 1 / (rank + 100). One round of expected pieces over the distinct training words refits the
 weights, of which the vocabulary's own keep the share OWN whatever the input's size.
 
-A text's probability is the product over its words and its end. A word's is what the training words
-count, the lattice standing for as many words as there are distinct ones (Witten-Bell):
-(c + V * lattice) / (N + V). So a word that was learned costs its count and any other what its
-pieces cost, and the probabilities of all words sum to one at most.
+A text's probability is the product over its words and its end, each summed over all its
+segmentations. Among a word's segmentations is the word as one piece, if training texts hold it: such
+a piece weighs c / (N + V), its count, and all segmentations into the vocabulary's pieces share
+V / (N + V) (Witten-Bell). So the marginal of a word is (c + V * lattice) / (N + V), counts enter as
+weights of pieces only, and the probabilities of all words sum to one at most.
 
 Each distinct word is segmented once: counts of words meet in Spark, and the documents' word counts
 join the scored words. The COMMON commonest words, and the end, which stands in every text, are

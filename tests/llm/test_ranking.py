@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from starloom.llm import audit, lexical, mixing, queries
 
-from .conftest import SCHEMA, prose
+from .conftest import prose
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,7 +55,7 @@ def plain_ranks(docs, items, best):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("fan, rows, block", [(32, 32_768, 4_000_000), (2, 7, 200), (3, 50, 1)])
+@pytest.mark.parametrize("fan, rows, block", [(32, 32_768, 4_000_000), (2, 7, 200), (3, 50, 900)])
 def test_ranks_equal_all_scores(spark, odd, odd_rows, monkeypatch, fan, rows, block):
     monkeypatch.setattr(lexical, "FAN", fan)
     monkeypatch.setattr(lexical, "RANGE_DOCUMENTS", rows)
@@ -238,4 +238,4 @@ def test_audit_of_odd_tables(odd, clashing, nothing, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     want = sorted(map(tuple, audit.audit(audit.mask_counts(odd, labels)).collect()), key=repr)
     assert sorted(map(tuple, audit.audit(audit.mask_counts(clashing, labels)).collect()), key=repr) == want
-    assert spark.createDataFrame([], SCHEMA).count() == nothing.count() == 0
+    assert audit.audit(audit.mask_counts(nothing, labels)).count() == 0

@@ -238,6 +238,14 @@ def test_scores_equal_all_segmentations_spelt_out(spark, common, monkeypatch):
     assert [got[i]["n_tokens"] for i in range(7)] == [7, 6, 5, 1, 1, 4, 7] and got[2]["n_known"] == 3 and got[5]["n_known"] == 2
 
 
+def test_a_word_is_one_more_piece_of_its_lattice(spark):
+    """Whole documents: log of the sum over every segmentation, the learned word itself among them as a piece."""
+    texts = [("the cat sat", True), ("the the dog", True), ("a dog sat", False)]
+    d = spark.createDataFrame([(i, t, learn) for i, (t, learn) in enumerate(texts)], "doc_id long, text string, learn boolean")
+    found = {r["doc_id"]: r["score"] for r in lattice.score(d, P.path("piece_bpe_32k.model")).collect()}
+    assert all(found[i] == pytest.approx(want, rel=1e-9) for i, want in enumerate(plain_lattice(texts)))
+
+
 def test_lattice_sums_all_segmentations():
     import numpy as np
 
