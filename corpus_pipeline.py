@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from starloom.llm import stages
-from starloom.llm.common import materialise
+from starloom.llm.common import discard, materialise
 
 STAGES = [
     ("quality", stages.quality),
@@ -27,5 +27,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        done = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

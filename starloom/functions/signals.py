@@ -61,7 +61,7 @@ def timing_error(t0_err: Column, period_err: Column, n_orbits: Column) -> Column
 
 def slight_odd_even(odd: Column, even: Column, depth: Column, sigma: Column, timing: Column) -> Column:
     """Whether an odd-even failure rests on a small difference of depths alone; false where a figure is missing."""
-    small = F.abs(odd - even) / F.abs(depth) <= ODD_EVEN_FRACTION
+    small = F.try_divide(F.abs(odd - even), F.abs(depth)) <= ODD_EVEN_FRACTION
     return F.coalesce(small & sigma.isNotNull() & (depth != 0) & (F.coalesce(timing, F.lit(0.0)) <= 10), F.lit(False))
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 W_TARGET, W_EASY, W_HARD, W_ELSEWHERE, FLOOR_PX = 1.0, 0.25, 0.05, 1.0, 0.1
 #: Inside: part of a duration from the middle. Outside: from INNER durations on, over a duration or LEAST_SIDE days.
 INSIDE, INNER, LEAST_SIDE = 0.4, 0.75, 0.05
-#: Quality bits of frames that are left out.
-BAD_BITS = sum(1 << k for k in (0, 1, 2, 3, 5, 7, 10, 11, 12, 14, 16, 17))
+#: Fixed value: the default mask of frames' public quality flags; frames with any of them are left out.
+BAD_BITS = 220335
 PIXEL = ("star", "row", "col")
 
 

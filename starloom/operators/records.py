@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 #: Ids, numbers that a record needs, words that say that an entry is no match.
@@ -112,6 +113,44 @@ def best_radius(v: Column) -> Column:
     return F.coalesce(number(v, "$.radius_rjup_best"), number(v, "$.radius_rjup"), (low + high) / 2, low, high)
 
 
+def scrubbed(c: Column, of: T.DataType) -> Column:
+    """``c`` with every number that isn't finite as null, at any depth of structs, arrays and maps."""
+    if isinstance(of, T.DoubleType | T.FloatType):
+        return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+    if isinstance(of, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[scrubbed(c[f.name], f.dataType).alias(f.name) for f in of]))
+    if isinstance(of, T.ArrayType):
+        return F.transform(c, lambda x: scrubbed(x, of.elementType))
+    if isinstance(of, T.MapType):
+        return F.transform_values(c, lambda _, x: scrubbed(x, of.valueType))
+    return c
+
+
+#: Verdicts of a vet by pixels, and what its record holds.
+VERDICTS = ("on target", "possible neighbour", "off target", "inconclusive")
+VET = "verdict string, reason string, on_target_probability double, centroid_offset_arcsec double, offset_sigma double, suspect_neighbours array<map<string,string>>, per_sector array<map<string,double>>, images map<string,string>"
+
+
+def normalised_vets(d: DataFrame, vet_col: str = "vet") -> DataFrame:
+    """Adds reason (null: valid) and vet, the record of the JSON text ``vet_col`` with every key there: lists and images are empty where absent, numbers that aren't finite are null, and texts are worded as candidates.
+
+    NaN and infinities may be written as such in the text.
+    """
+    from starloom.functions.text import soften
+
+    kept = T.StructType.fromDDL(VET)
+    parsed = F.from_json(F.col(vet_col), VET, {"allowNonNumericNumbers": "true", "mode": "PERMISSIVE"})
+    d = d.withColumn("_v", scrubbed(parsed, kept))
+    empty = {"suspect_neighbours", "per_sector", "images"}
+    none = lambda f: F.create_map().cast(f.dataType) if f.name == "images" else F.array().cast(f.dataType)
+    fields = []
+    for f in kept:
+        c = F.col(f"_v.{f.name}")
+        fields.append((F.coalesce(c, none(f)) if f.name in empty else soften(c) if f.name == "reason" else c).alias(f.name))
+    bad = F.when(F.col("_v").isNull(), F.lit("not an object")).when(~F.coalesce(F.col("_v.verdict").isin(*VERDICTS), F.lit(False)), F.lit("verdict"))
+    return d.withColumn("why", bad).withColumn("vet", F.when(F.col("why").isNull(), F.struct(*fields))).withColumnRenamed("why", "reason").drop("_v")
+
+
 def judged(d: DataFrame, id_col: str = "id", text_col: str = "record") -> DataFrame:
     """Adds reason and, for valid records, tic, period_d, best_radius, checks_passed, checks_total, match."""
     v = F.try_parse_json(F.col(text_col))

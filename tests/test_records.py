@@ -51,3 +51,42 @@ def test_ingest_survives_a_restart(spark, tmp_path):
     ids = lambda d: sorted((r["id"] or "" for r in d.collect()))
     assert ids(spark.read.parquet(good)) == ids(batch.where("reason is null"))
     assert ids(spark.read.parquet(bad)) == ids(batch.where("reason is not null"))
+
+
+def test_vets_are_normalised(spark):
+    texts = [
+        '{"verdict": "on target", "on_target_probability": NaN, "offset_sigma": 1.5, "per_sector": [{"a": Infinity, "b": 2.0}]}',
+        '{"verdict": "off target", "reason": "a long way off", "images": {"x": "y"}}',
+        '{"verdict": "perhaps"}',
+        "no json",
+        None,
+    ]
+    got = {r["vet_id"]: r for r in records.normalised_vets(spark.createDataFrame(list(enumerate(texts)), "vet_id int, text string"), "text").collect()}
+    first = got[0]["vet"]
+    assert got[0]["reason"] is None and first["on_target_probability"] is None and first["offset_sigma"] == 1.5 and first["per_sector"] == [{"a": None, "b": 2.0}]
+    assert first["suspect_neighbours"] == [] and first["images"] == {} and first["reason"] is None
+    assert got[1]["vet"]["images"] == {"x": "y"} and got[1]["vet"]["reason"] == "a long way off"
+    assert [got[i]["reason"] for i in (2, 3, 4)] == ["verdict"] + [got[3]["reason"], "not an object"] and got[3]["vet"] is None and got[4]["vet"] is None
+
+
+def test_scrub_reaches_every_depth(spark):
+    nan, inf = float("nan"), float("inf")
+    d = spark.createDataFrame([((1.0, [nan, 2.0, None], {"k": inf}), "x"), (None, "y")], "s struct<a:double,b:array<double>,c:map<string,double>>, n string")
+    got = d.select("n", records.scrubbed(d["s"], d.schema["s"].dataType).alias("s")).orderBy("n").collect()
+    assert tuple(got[0]["s"]) == (1.0, [None, 2.0, None], {"k": None}) and got[1]["s"] is None
+
+
+def test_small_functions(spark):
+    from pyspark.sql import functions as F
+
+    from starloom.functions.astro import btjd, sectors_mask, sectors_of
+    from starloom.functions.signals import slight_odd_even
+    from starloom.functions.text import slug
+
+    d = spark.createDataFrame([(1, 2457001.5, "Per cent  OFF-1"), (1, 5.5, "é a"), (1, None, None)], "k int, t double, s string")
+    assert [tuple(r) for r in d.select(btjd(F.col("t")), slug(F.col("s"))).collect()] == [(1.5, "per_cent_off_1"), (5.5, "_a"), (None, None)]
+    bits = spark.createDataFrame([(1, 1), (1, 14), (1, 55), (1, 14), (2, 3)], "star int, sector int").groupBy("star").agg(sectors_mask("sector").alias("bits"))
+    assert {r["star"]: r["held"] for r in bits.select("star", sectors_of("bits").alias("held")).collect()} == {1: [1, 14, 55], 2: [3]}
+    cases = [(0.0100, 0.0101, 0.01, 4.0, None, True), (0.01, 0.02, 0.01, 4.0, None, False), (0.01, 0.01, 0.01, None, None, False), (0.01, 0.01, 0.01, 4.0, 11.0, False), (0.0, 0.0, 0.0, 4.0, 0.0, False)]
+    e = spark.createDataFrame(cases, "odd double, even double, depth double, sigma double, timing double, want boolean")
+    assert e.where(slight_odd_even(F.col("odd"), F.col("even"), F.try_divide(F.col("depth"), F.lit(1.0)), F.col("sigma"), F.col("timing")) != F.col("want")).count() == 0
