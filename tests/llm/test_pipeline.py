@@ -12,7 +12,7 @@ from .conftest import SCHEMA, prose
 def test_stages_and_registration():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "language", "near_duplicates", "secrets", "packing"]
     names = __spark_entry__.queries()
-    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
 
 
 def test_each_stage_keeps_columns_and_clean_rows(spark, tmp_path):
