@@ -58,3 +58,41 @@ def mollweide(ra: Column, dec: Column, steps: int = 30) -> tuple[Column, Column]
     step = lambda t, _: t - F.coalesce((2 * t + F.sin(2 * t) - F.lit(math.pi) * F.sin(phi)) / F.nullif(2 + 2 * F.cos(2 * t), F.lit(0.0)), F.lit(0.0))
     theta = F.when(F.abs(F.abs(phi) - math.pi / 2) < 1e-9, phi).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), phi, step))
     return F.lit(2 / math.pi) * F.radians(lon) * F.cos(theta), F.sin(theta)
+
+
+def tangent_plane(ra0: Column, dec0: Column, ra: Column, dec: Column) -> tuple[Column, Column]:
+    """Degrees east and north of a place on the plane that touches the sky at (ra0, dec0)."""
+    a, d, d0 = F.radians(ra - ra0), F.radians(dec), F.radians(dec0)
+    c = F.sin(d0) * F.sin(d) + F.cos(d0) * F.cos(d) * F.cos(a)
+    return F.degrees(F.cos(d) * F.sin(a) / c), F.degrees((F.cos(d0) * F.sin(d) - F.sin(d0) * F.cos(d) * F.cos(a)) / c)
+
+
+def from_tangent_plane(ra0: Column, dec0: Column, east: Column, north: Column) -> tuple[Column, Column]:
+    """The place on the sky of a point on that plane."""
+    x, y, d0 = F.radians(east), F.radians(north), F.radians(dec0)
+    down = F.cos(d0) - y * F.sin(d0)
+    return F.pmod(ra0 + F.degrees(F.atan2(x, down)), F.lit(360.0)), F.degrees(F.atan2(F.sin(d0) + y * F.cos(d0), F.hypot(x, down)))
+
+
+def pixel_of(ra: Column, dec: Column) -> tuple[Column, Column]:
+    """(x, y) on an image whose columns say ra0, dec0 (touching point), x0, y0 (its pixel) and c11, c12, c21, c22 (degrees a pixel)."""
+    e, n = tangent_plane(F.col("ra0"), F.col("dec0"), ra, dec)
+    a, b, c, d = (F.col(k) for k in ("c11", "c12", "c21", "c22"))
+    det = a * d - b * c
+    return F.col("x0") + (d * e - b * n) / det, F.col("y0") + (a * n - c * e) / det
+
+
+def place_of(x: Column, y: Column) -> tuple[Column, Column]:
+    """(ra, dec) of a pixel of such an image."""
+    u, v = x - F.col("x0"), y - F.col("y0")
+    return from_tangent_plane(F.col("ra0"), F.col("dec0"), F.col("c11") * u + F.col("c12") * v, F.col("c21") * u + F.col("c22") * v)
+
+
+def pixel_slopes(ra: Column, dec: Column, x: Column, y: Column) -> dict[str, Column]:
+    """ex, nx, ey, ny: arcsec east and north that one pixel more in x or y leads to, seen from (ra, dec)."""
+    here = offset_arcsec(ra, dec, *place_of(x, y))
+    out = {}
+    for axis, at in (("x", (x + 1, y)), ("y", (x, y + 1))):
+        east, north = offset_arcsec(ra, dec, *place_of(*at))
+        out[f"e{axis}"], out[f"n{axis}"] = east - here[0], north - here[1]
+    return out
