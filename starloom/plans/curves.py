@@ -199,6 +199,15 @@ def bls_best_period(d):
     return box_search(inject(d, PERIOD, T0, DURATION, 0.5), 1.0, 8.0)
 
 
+@query(None)
+def staged_best_period(d):
+    """The same curves searched in two stages: likelihoods summed over event types as sectors, then a grid for the whole baseline."""
+    from starloom.operators.kernels import inject
+    from starloom.operators.staged import staged_search
+
+    return staged_search(inject(d, PERIOD, T0, DURATION, 0.5), 1.0, 8.0, (0.3, 0.45, 0.6, 0.8), star_rows=20, sector_rows=5)
+
+
 @query(None)
 def repeated_signals(d):
     """Up to two signals of each curve with a box transit put in: the second from the rows off the first."""
