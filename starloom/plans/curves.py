@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.functions.astro import in_transit, rounded
 from starloom.operators import curves as ops
+from starloom.operators import shaped
 from starloom.sources.tables import curve, table
 
 PERIOD, T0, DURATION = 3.0, 1.0, 0.6
@@ -208,6 +211,30 @@ def staged_best_period(d):
     return staged_search(inject(d, PERIOD, T0, DURATION, 0.5), 1.0, 8.0, (0.3, 0.45, 0.6, 0.8), star_rows=20, sector_rows=5)
 
 
+@query(None)
+def shaped_best_period(d):
+    """The same curves searched for transits of a star's shape and duration, in their newest event types within a budget."""
+    from starloom.operators.kernels import inject
+
+    return shaped.shaped_search(inject(d, PERIOD, T0, DURATION, 0.5), masses(d), budget=0.04, star_rows=20)
+
+
+def masses(d):
+    return d.select("star").distinct().selectExpr("star", "0.5D + star % 4 * 0.5D mass", "0.5D + star % 3 * 0.5D radius")
+
+
+GRID = {k: f"({v!r}::DOUBLE)" for k, v in {"step": (2 * math.pi) ** (2 / 3) / math.pi / 3 * shaped.SUN_RADIUS / (shaped.GRAVITY * shaped.SUN_MASS) ** (1 / 3) * shaped.DAY ** (-2 / 3) / shaped.OVERSAMPLE, "top": (1 / shaped.LEAST_PERIOD) ** (1 / 3)}.items()}
+
+
+@query(f""", s AS (SELECT star, sector, count(*) AS rows, min(t) AS a, max(t) AS z FROM c WHERE flux IS NOT NULL GROUP BY star, sector),
+ w AS (SELECT *, sum(rows) OVER k AS every, max(z) OVER k - min(a) OVER k AS span, row_number() OVER k AS i, 0.5 + star % 4 * 0.5 AS mass, 0.5 + star % 3 * 0.5 AS radius FROM s WINDOW k AS (PARTITION BY star ORDER BY z DESC, sector DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ g AS (SELECT *, pow(1 / greatest(span / 2, {shaped.LEAST_PERIOD * 1.01}::DOUBLE), 1.0 / 3) AS root, {GRID['step']} * radius / pow(mass, 1.0 / 3) / greatest(span, 1) AS step FROM w),
+ x AS (SELECT *, every * (ceil(({GRID['top']} - root) / step) + 1) / {shaped.RATE} AS cost FROM g)
+ SELECT star, sector, rows, {sql_r('cost', 6)} AS cost, i = 1 OR max(cost) OVER (PARTITION BY star ORDER BY i) <= 0.02 AS used FROM x""")
+def budgeted_sectors(d):
+    return shaped.within_budget(d, masses(d), budget=0.02).withColumn("cost", rounded(F.col("cost"), 6))
+
+
 @query(None)
 def repeated_signals(d):
     """Up to two signals of each curve with a box transit put in: the second from the rows off the first."""
