@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from starloom.operators.shared import checkpointed
-from starloom.operators.signals import edge_mask, interpolated
+from starloom.operators.signals import edge_mask, interpolated, normal_tail
 
 #: Sigmas, sigmas an hour, days.
 Z_HIGH, RATE_PER_H, SHOULDER_D = 3.0, 1.0, 0.5
@@ -83,6 +83,31 @@ def secondary_eclipse(boxes: DataFrame, least: int = 20) -> DataFrame:
     return g.where((F.col("boxes") >= least) & (F.col("err") > 0) & F.col("b").isNotNull()).select("star", "b.phase", "b.depth", "err", (F.col("b.depth") / F.col("err")).alias("raw"))
 
 
+def normal_quantile(p: Column) -> Column:
+    """x beyond which a normal value lies with chance ``p``, by halving -9 to 39; null for a chance of 0, 1 or null."""
+    middle = lambda a: (a["low"] + a["high"]) / 2
+    halve = lambda a, _: F.when(normal_tail(middle(a)) > p, F.struct(middle(a).alias("low"), a["high"].alias("high"))).otherwise(F.struct(a["low"].alias("low"), middle(a).alias("high")))
+    ends = F.struct(F.lit(-9.0).alias("low"), F.lit(39.0).alias("high"))
+    return F.when((p > 0) & (p < 1), F.aggregate(F.sequence(F.lit(1), F.lit(60)), ends, halve, middle))
+
+
+#: A dip half way round counts from so many sigmas and so much of the transit's depth on; phases searched.
+SECONDARY_SIGMA, SECONDARY_SHARE, SECONDARY_PHASES = 3.0, 0.1, 0.2
+
+
+def secondary_verdict(s: DataFrame, share: Column, depth: Column) -> DataFrame:
+    """``s`` of secondary_eclipse with places, nsig and passed: the deepest of so many independent boxes is judged by the chance that any of them gets there.
+
+    ``share`` is the transit's duration over its period, ``depth`` its depth. A chance below all
+    doubles leaves the plain ratio.
+    """
+    places = F.greatest(F.lit(1.0), F.lit(SECONDARY_PHASES) / share)
+    one = F.least(normal_tail(F.col("raw")), F.lit(1 - 1e-16))
+    any_of = -F.expm1(F.col("places") * F.log1p(-one))
+    s = s.withColumn("places", places).withColumn("nsig", F.coalesce(normal_quantile(any_of), F.when(F.col("raw") > 0, F.col("raw")).otherwise(-9.0)))
+    return s.withColumn("passed", ~((F.col("nsig") > SECONDARY_SIGMA) & (F.col("depth") / F.greatest(depth, F.lit(1e-12)) > SECONDARY_SHARE)))
+
+
 def service_mode(runs: DataFrame, now: Column, timeout: int = LIVE_TIMEOUT_S, slot: int = SLOT_S) -> DataFrame:
     """run_id, mode, place: live while the run is running and was updated within ``timeout`` seconds; else replay at a star counted by slots of the server's time."""
     age = F.unix_timestamp(now) - F.unix_timestamp("updated_at")

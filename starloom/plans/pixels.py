@@ -122,6 +122,16 @@ def secondary_eclipse(d):
     return s.select("star", rounded(F.col("depth")).alias("depth"), rounded(F.col("err")).alias("err"), rounded(F.col("raw"), 3).alias("raw"))
 
 
+def secondary_verdicts(spark, sf_dir):
+    """The same boxes judged for all the places that they could have been, against a transit as deep as a tenth of the star's mean."""
+    d = curve(table(spark, sf_dir, "events"))
+    s = sc.secondary_eclipse(sc.phase_boxes(d, PERIOD, T0, DURATION), 5).join(d.groupBy("star").agg((F.avg("flux") / 10).alias("transit")), "star")
+    return sc.secondary_verdict(s, F.lit(DURATION / PERIOD), F.col("transit")).drop("transit")
+
+
+QUERIES["secondary_verdicts"] = secondary_verdicts
+
+
 def quadratic_sql(rounds: int = 5) -> str:
     det = "(s0*(s2*s4-s3*s3) - s1*(s1*s4-s2*s3) + s2*(s1*s3-s2*s2))"
     sql = "WITH d0 AS (SELECT substring(p_brand, 1, 7) AS k, CAST(p_size AS DOUBLE) / 10 - 2 AS x, CAST(p_retailprice AS DOUBLE) / 100 AS y, true AS u FROM part)"
