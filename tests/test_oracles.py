@@ -5,11 +5,11 @@ import math
 import duckdb
 import pytest
 
-from starloom.plans import catalogues, centroids, curves, dips, pixels, searches, stars
+from starloom.plans import catalogues, centroids, curves, dips, pixels, searches, stars, vetting
 
 TABLES = "region nation customer supplier part orders lineitem events documents conversations".split()
-QUERIES = curves.QUERIES | catalogues.QUERIES | searches.QUERIES | stars.QUERIES | pixels.QUERIES | dips.QUERIES | centroids.QUERIES
-ORACLES = curves.ORACLES | catalogues.ORACLES | searches.ORACLES | stars.ORACLES | pixels.ORACLES | dips.ORACLES | centroids.ORACLES
+QUERIES = curves.QUERIES | catalogues.QUERIES | searches.QUERIES | stars.QUERIES | pixels.QUERIES | dips.QUERIES | centroids.QUERIES | vetting.QUERIES
+ORACLES = curves.ORACLES | catalogues.ORACLES | searches.ORACLES | stars.ORACLES | pixels.ORACLES | dips.ORACLES | centroids.ORACLES | vetting.ORACLES
 
 
 @pytest.fixture(scope="module")
