@@ -35,6 +35,11 @@ def test_equals_the_oracle(name, spark, duck, sf):
     assert values(map(tuple, got.select(*[f"`{n}`" for n in names]).collect())) == want
 
 
+def test_no_name_is_registered_twice():
+    modules = (curves, catalogues, searches, stars, pixels, dips, centroids, vetting)
+    assert sum(len(m.QUERIES) for m in modules) == len(QUERIES)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLES.keys()))
 def test_runs(name, spark, sf):
     assert QUERIES[name](spark, sf).count() > 0
