@@ -1,7 +1,7 @@
 """Quality rules in DataFrame functions only: base rules and a hashed n-gram log-likelihood ratio.
 
 Words and word pairs are hashed into a fixed number of buckets. One multinomial over buckets is
-counted on the trusted target (documents labelled good), one on the whole raw corpus. A document's
+counted on the trusted target (all documents labelled good), one on the whole raw corpus. A document's
 ratio is its mean log ratio over its n-grams. Both counts of a bucket start from the same
 pseudo-count, which is as large as the chance of a count and not of a share, so that a bucket with
 few n-grams says little whatever the size of the target.
@@ -21,11 +21,12 @@ other than the id and the text are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import id_text
+from starloom.llm.common import discard, id_text, materialise
 
 #: A power of two.
 BUCKETS = 1 << 16
@@ -33,8 +34,8 @@ BUCKETS = 1 << 16
 PSEUDO = 3.0
 #: The threshold lies STRETCH times as far below the median of the held-out ratios as their LOW quantile does; LEAST_SPREAD counts at least, and one over the root of their number, since few documents say little about the rest.
 STRETCH, LOW, LEAST_SPREAD = 1.5, 0.01, 0.02
-#: Labelled documents that the target is counted on, at most.
-TARGET_ROWS = 20_000
+#: Ratios are compared in units of so small a part, and their quantiles found by counts in steps of so many units.
+UNITS, STEPS = 1_000_000_000, (1_000_000, 1_000, 1)
 SPACE = r"\x20\x09-\x0D"
 MIN_WORDS = 50
 
@@ -97,9 +98,9 @@ def bucket_of(h: Column, buckets: int = BUCKETS) -> Column:
 
 
 def mean_ratio(table: Column, buckets: int = BUCKETS) -> Column:
-    """Mean of ``table`` over a document's ones and twos."""
-    total = lambda hashes: F.aggregate(hashes, F.lit(0.0), lambda a, h: a + F.get(table, bucket_of(h, buckets)))
-    return F.round((total("ones") + total("twos")) / F.greatest(F.size("ones") + F.size("twos"), F.lit(1)), 9)
+    """Mean of ``table`` over a document's ones and twos. ``table`` stands in it once, as plans are written out with all their constants."""
+    total = F.aggregate(F.concat("ones", "twos"), F.lit(0.0), lambda a, h: a + F.get(table, bucket_of(h, buckets)))
+    return F.round(total / F.greatest(F.size("ones") + F.size("twos"), F.lit(1)), 9)
 
 
 def as_table(values: list[float]) -> Column:
@@ -107,30 +108,33 @@ def as_table(values: list[float]) -> Column:
     return F.split(F.lit(",".join(f"{v:.7g}" for v in values)), ",").cast("array<double>")
 
 
-def halves_of(docs: DataFrame, target_ids: DataFrame, how: str, id_col: str, text_col: str) -> DataFrame:
-    """words, half (0 or 1 for documents of the target; null for others if ``how`` is left). ``target_ids`` has TARGET_ROWS rows at most, so it may be broadcast."""
-    ids = target_ids.select(F.col("doc_id").alias("t_id"), F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("half"))
-    return id_text(docs, id_col, text_col).join(F.broadcast(ids), F.col("doc_id") == F.col("t_id"), how).select(words_of(F.col("text")).alias("words"), "half")
+def half_of(doc_id: Column) -> Column:
+    """0 or 1: the half of the target that a document is in, if it is trusted."""
+    return F.pmod(F.xxhash64(doc_id, F.lit("half")), F.lit(2))
 
 
 def count_buckets(docs: DataFrame, target_ids: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[int], list[list[int]]]:
     """N-grams of each bucket in the raw corpus, and in each half of the target.
 
     Counts are taken over all documents, meet as one row a bucket and task, and end as ``buckets`` rows.
+    The number of ``target_ids`` grows with the corpus, so the texts are dealt out to them by id and
+    the ids are never broadcast.
     """
-    d = with_hashes(halves_of(docs, target_ids, "left", id_col, text_col))
+    ids = target_ids.select(F.col("doc_id").alias("t_id"), half_of(F.col("doc_id")).alias("half")).hint("shuffle_hash")
+    d = id_text(docs, id_col, text_col).join(ids, F.col("doc_id") == F.col("t_id"), "left").select(words_of(F.col("text")).alias("words"), "half")
     found = (
-        d.select(computed_once(F.concat("ones", "twos")).alias("hashes"), "half")
+        with_hashes(d)
+        .select(computed_once(F.concat("ones", "twos")).alias("hashes"), "half")
         .select(F.explode("hashes").alias("h"), "half")
         .groupBy(bucket_of(F.col("h"), buckets).alias("bucket"))
         .agg(F.count("*").alias("raw"), *[F.count_if(F.col("half") == k).alias(f"n{k}") for k in (0, 1)])
-        .collect()
+        .toArrow()
+        .to_pydict()
     )
     raw, halves = [0] * buckets, [[0] * buckets, [0] * buckets]
-    for r in found:
-        raw[r["bucket"]] = r["raw"]
-        for k in (0, 1):
-            halves[k][r["bucket"]] = r[f"n{k}"]
+    for to, name in ((raw, "raw"), (halves[0], "n0"), (halves[1], "n1")):
+        for bucket, n in zip(found["bucket"], found[name]):
+            to[bucket] = n
     return raw, halves
 
 
@@ -142,30 +146,63 @@ def ratio_table(raw: list[int], target: list[int], pseudo: float = PSEUDO) -> li
     return [math.log((t + pseudo) / (n_target * r / n_raw + pseudo)) for t, r in zip(target, raw)]
 
 
-def threshold(docs: DataFrame, target_ids: DataFrame, raw: list[int], halves: list[list[int]], id_col: str = "doc_id", text_col: str = "text") -> float:
-    """Least ratio of a document that is kept, from the ratios of the target's halves against each other's counts."""
-    if not all(map(sum, halves)):
-        return -math.inf
-    d = with_hashes(halves_of(docs, target_ids, "inner", id_col, text_col).where(F.size("words") >= MIN_WORDS))
-    tables = [as_table(ratio_table(raw, halves[1 - k])) for k in (0, 1)]
-    held_out = d.select(F.when(F.col("half") == 0, mean_ratio(tables[0])).otherwise(mean_ratio(tables[1])).alias("ratio"))
-    found = held_out.agg(F.percentile("ratio", F.array(F.lit(0.5), F.lit(LOW))).alias("q"), F.count("*").alias("n")).first()
-    if not found["n"]:
+def values_at(units: DataFrame, ranks: Callable[[int], list[int]]) -> tuple[list[int], int]:
+    """Exact values of the given ranks (from 0 on, a function of the number of rows) in the column ``units`` of longs, and that number.
+
+    Rows are counted in wide steps, those of the steps with the ranks in narrower ones, and so on, so
+    that what reaches the driver is as large as a step holds narrower ones, whatever the rows.
+    """
+    start = lambda width: F.col("units") - F.pmod("units", F.lit(width))
+    inside, places, n = F.lit(True), [], 0
+    for k, width in enumerate(STEPS):
+        found = sorted((r["start"], r["n"]) for r in units.where(inside).groupBy(start(width).alias("start")).agg(F.count("*").alias("n")).collect())
+        if not k:
+            n = sum(c for _, c in found)
+            places = [(None, rank) for rank in ranks(n)] if n else []
+        if not places:
+            return [], n
+        for i, (above, rank) in enumerate(places):
+            for at, c in found:
+                if above is None or above <= at < above + STEPS[k - 1]:
+                    if rank < c:
+                        places[i] = (at, rank)
+                        break
+                    rank -= c
+        inside = start(width).isin(sorted({at for at, _ in places}))
+    return [at for at, _ in places], n
+
+
+def threshold(held_out: DataFrame) -> float:
+    """Least ratio of a document that is kept, from the column ``ratio`` of the target's halves against each other's counts."""
+    shares = (0.5, LOW)
+    units = materialise(held_out.select(F.round(F.col("ratio") * UNITS).cast("long").alias("units")), "held-out")
+    found, n = values_at(units, lambda n: [f((n - 1) * q) for q in shares for f in (math.floor, math.ceil)])
+    discard(units)
+    if not n:
         return -math.inf
-    median, low = found["q"]
-    return median - STRETCH * max(median - low, LEAST_SPREAD, 1 / math.sqrt(found["n"]))
+    parts = [(n - 1) * q % 1 for q in shares]
+    median, low = (((1 - part) * found[2 * i] + part * found[2 * i + 1]) / UNITS for i, part in enumerate(parts))
+    return median - STRETCH * max(median - low, LEAST_SPREAD, 1 / math.sqrt(n))
 
 
-def trusted_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
-    """Ids of documents labelled good: all, or the ``rows`` with the least hash."""
-    return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled good."""
+    return labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row (all columns of ``docs``), doc_id, the base counts, base_failed, ratio, least_ratio and kept of every document."""
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: bool = True) -> DataFrame:
+    """row (all columns of ``docs``; not without ``rows``), doc_id, the base counts, base_failed, ratio, least_ratio and kept of every document.
+
+    All ratios are taken in one pass and written to the shared folder: the document's own and the one
+    that counts if it is trusted, against the half that it isn't in.
+    """
     target_ids = trusted_ids(labels)
     raw, halves = count_buckets(docs, target_ids, id_col=id_col, text_col=text_col)
-    least = threshold(docs, target_ids, raw, halves, id_col, text_col)
-    table = as_table(ratio_table(raw, [a + b for a, b in zip(*halves)]))
-    d = base_rules(docs, id_col, text_col).withColumn("ratio", computed_once(mean_ratio(table))).drop("ones", "twos")
-    return d.withColumn("least_ratio", F.lit(least)).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= F.col("least_ratio")))
+    whole, first, second = (as_table(ratio_table(raw, t)) for t in ([a + b for a, b in zip(*halves)], *halves))
+    held_out = F.when(F.col("n_words") >= MIN_WORDS, F.when(half_of(F.col("doc_id")) == 0, mean_ratio(second)).otherwise(mean_ratio(first)))
+    d = base_rules(docs, id_col, text_col).withColumns({"ratio": computed_once(mean_ratio(whole)), "held_out": held_out})
+    d = materialise(d.drop("ones", "twos", *([] if rows else ["row"])), "judged")
+    least = -math.inf
+    if all(map(sum, halves)):
+        least = threshold(d.where("held_out is not null").select("doc_id", F.col("held_out").alias("ratio")).join(target_ids, "doc_id"))
+    return d.drop("held_out").withColumn("least_ratio", F.lit(least)).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= F.col("least_ratio")))

@@ -76,7 +76,7 @@ def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starloom.llm.quality import judge
 
-    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), rows=False)
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,6 +127,27 @@ def test_base_spans(spark, odd, clashing, nothing):
     assert secrets.scan(nothing).count() == 0
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """More labelled rows than the target was once cut to: their n-grams, and the threshold, are of all of them."""
+    n = 20_500
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words"), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    target = quality.trusted_ids(labels.unionByName(labels))
+    raw, halves = quality.count_buckets(docs, target)
+    assert sum(raw) == 5 * n and [a + b for a, b in zip(*halves)] == raw and all(map(sum, halves))
+    assert target.count() == n
+
+
+def test_quality_quantiles_are_exact(spark):
+    r = random.Random(3)
+    for values in ([r.gauss(-0.1, 0.05) for _ in range(4000)], [0.5] * 900 + [-3.25, 7.0, -0.000000001], [-0.25]):
+        held_out = spark.createDataFrame([(round(x, 9),) for x in values], "ratio double")
+        median, low = held_out.agg(F.percentile("ratio", F.array(F.lit(0.5), F.lit(quality.LOW))).alias("q")).first()["q"]
+        want = median - quality.STRETCH * max(median - low, quality.LEAST_SPREAD, 1 / math.sqrt(len(values)))
+        assert abs(quality.threshold(held_out) - want) < 1e-12
+    assert quality.threshold(held_out.limit(0)) == -math.inf
+
+
 def test_weak_parts_need_their_complement(spark):
     key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzzKEY123"
     assert len(key) == 40
