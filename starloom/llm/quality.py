@@ -193,15 +193,16 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: bool = True) -> DataFrame:
     """row (all columns of ``docs``; not without ``rows``), doc_id, the base counts, base_failed, ratio, least_ratio and kept of every document.
 
-    All ratios are taken in one pass and written to the shared folder: the document's own and the one
-    that counts if it is trusted, against the half that it isn't in.
+    Beside its own ratio a document has the one that counts if it is trusted, against the half that it
+    isn't in. Without rows both are taken in one pass, written to the shared folder; texts aren't
+    written there, and with rows they are judged once the threshold is known.
     """
     target_ids = trusted_ids(labels)
     raw, halves = count_buckets(docs, target_ids, id_col=id_col, text_col=text_col)
     whole, first, second = (as_table(ratio_table(raw, t)) for t in ([a + b for a, b in zip(*halves)], *halves))
-    held_out = F.when(F.col("n_words") >= MIN_WORDS, F.when(half_of(F.col("doc_id")) == 0, mean_ratio(second)).otherwise(mean_ratio(first)))
+    held_out = computed_once(F.when(F.col("n_words") >= MIN_WORDS, F.when(half_of(F.col("doc_id")) == 0, mean_ratio(second)).otherwise(mean_ratio(first))))
     d = base_rules(docs, id_col, text_col).withColumns({"ratio": computed_once(mean_ratio(whole)), "held_out": held_out})
-    d = materialise(d.drop("ones", "twos", *([] if rows else ["row"])), "judged")
+    d = d.drop("ones", "twos") if rows else materialise(d.drop("ones", "twos", "row"), "judged")
     least = -math.inf
     if all(map(sum, halves)):
         least = threshold(d.where("held_out is not null").select("doc_id", F.col("held_out").alias("ratio")).join(target_ids, "doc_id"))
