@@ -6,14 +6,14 @@ escape (method C) to the next shorter one, so that the probabilities of all byte
 the empty context all bytes are alike. Statistics are frozen after learning; a text goes to the language that gives
 it the shortest code, and the score is that language's posterior under even priors.
 
-Learning reads whole texts of labelled rows: for each language all of them up to ``rows_a_language``,
-beyond that a sample of about so many by a hash of the id. The counts meet in Spark, one row for
-each language and four bytes, and the model is as large as the sample's distinct four bytes.
+Learning reads the whole texts of all labelled rows. The counts meet in Spark, one row for each
+language and four bytes, and the model is as large as the distinct four bytes of the texts, not as
+the texts.
 
 The score only tells the learned languages from each other. Whether a text is in any of them its code
 length by one tree of all learned words tells (``learn_words``, ``code_bits``); words are runs of
 letters in lower case, without what digits are mixed into (``words_of``). ``bounds`` gives the bits a
-byte that a text may take: the learned rows are dealt into halves by a hash of the text and each is
+byte that a text may take: all labelled rows are dealt into halves by a hash of the text and each is
 coded by the other half's tree; a language's bound is the geometric mean of its rows' median and of
 the 8 bits a byte takes that nothing is known of.
 
@@ -31,12 +31,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm.hashindex import HashIndex
 
-ROWS_A_LANGUAGE = 5_000
 UNKNOWN = "und"
 PAD = 10
 #: Bits that a byte takes of which nothing is known.
@@ -156,25 +155,14 @@ class ContextTrees:
         return total
 
 
-def sample(rows: DataFrame, rows_a_language: int, lang_col: str, text_col: str, id_col: str) -> tuple[DataFrame, list[str]]:
-    """The rows to learn from, and their languages."""
+def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text") -> ContextTrees | None:
+    """Trees of the languages of all labelled ``rows``; None if there are none."""
     labelled = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
-    share = F.lit(None)
-    for lang, n in sizes.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, rows_a_language / n))).otherwise(share)
-    dice = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_003)) / F.lit(1_000_003)
-    return labelled.where(dice < share), sorted(sizes)
-
-
-def learn(rows: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> ContextTrees | None:
-    """Trees of the languages in ``rows``; None if there are none."""
-    learned, langs = sample(rows, rows_a_language, lang_col, text_col, id_col)
+    langs = sorted(r["lang"] for r in labelled.select(F.col(lang_col).alias("lang")).distinct().collect())
     if not langs:
         return None
-    counts = count_contexts(learned, lang_col, text_col).toPandas()
-    number = {lang: k for k, lang in enumerate(langs)}
-    return ContextTrees(langs, counts["code"].to_numpy(np.int64), counts["lang"].map(number).to_numpy(np.int64), counts["n"].to_numpy(np.int64))
+    counts = count_contexts(labelled, lang_col, text_col).toArrow()
+    return ContextTrees(langs, counts["code"].to_numpy(), pc.index_in(counts["lang"], pa.array(langs, pa.string())).to_numpy().astype(np.int64), counts["n"].to_numpy())
 
 
 def words_of(text: Column) -> Column:
@@ -189,13 +177,12 @@ def halves_of(words: Column) -> Column:
     return F.pmod(F.xxhash64(words, F.lit("half")), F.lit(2))
 
 
-def learn_words(rows: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> ContextTrees:
-    """Trees of the words of all languages: of both halves of the rows, of the first and of the second."""
-    learned, _ = sample(rows, rows_a_language, lang_col, text_col, id_col)
-    words = learned.select(words_of(F.col(text_col)).alias("words"))
-    counts = count_contexts(words.withColumn("half", halves_of(F.col("words")).cast("string")), "half", "words").toPandas()
-    code, n = (np.tile(counts[c].to_numpy(np.int64), 2) for c in ("code", "n"))
-    half = counts["lang"].astype(int).to_numpy(np.int64)
+def learn_words(rows: DataFrame, lang_col: str = "lang", text_col: str = "text") -> ContextTrees:
+    """Trees of the words of all labelled rows: of both halves of them, of the first and of the second."""
+    words = rows.where(F.col(lang_col).isNotNull()).select(words_of(F.col(text_col)).alias("words"))
+    counts = count_contexts(words.withColumn("half", halves_of(F.col("words")).cast("string")), "half", "words").toArrow()
+    code, n = (np.tile(counts[c].to_numpy(), 2) for c in ("code", "n"))
+    half = pc.cast(counts["lang"], pa.int64()).to_numpy()
     return ContextTrees(["all", "first", "second"], code, np.concatenate([np.zeros_like(half), 1 + half]), n)
 
 
@@ -209,24 +196,22 @@ def bits_of(trees: ContextTrees, words: pa.Array, tree: np.ndarray) -> np.ndarra
     return out
 
 
-def code_bits(spark: SparkSession, trees: ContextTrees, words: Column, tree: Column) -> Column:
-    """Bits that each text's words take by the tree of that number; null for null."""
-    frozen = spark.sparkContext.broadcast(trees)
+def rates(rows: DataFrame, trees: ContextTrees, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """lang, rate: bits a byte that the words of each labelled row take by the tree of the half that it isn't in."""
+    frozen = rows.sparkSession.sparkContext.broadcast(trees)
 
     @F.arrow_udf("double")
-    def run(words: pa.Array, tree: pa.Array) -> pa.Array:
-        return pa.array(bits_of(frozen.value, words, tree.to_numpy(zero_copy_only=False)))
+    def run(words: pa.Array, half: pa.Array) -> pa.Array:
+        return pa.array(bits_of(frozen.value, words, 2 - half.to_numpy(zero_copy_only=False)))
 
-    return F.nanvl(run(words, tree), F.lit(None).cast("double"))
+    d = rows.select(F.col(lang_col).alias("lang"), words_of(F.col(text_col)).alias("words")).where("lang is not null and words is not null")
+    return d.select("lang", (run(F.col("words"), halves_of(F.col("words"))) / F.octet_length("words")).alias("rate"))
 
 
-def bounds(rows: DataFrame, trees: ContextTrees, rows_a_language: int = ROWS_A_LANGUAGE, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> dict[str, float]:
-    """Bits a byte that the words of a text in each language may take."""
-    learned, langs = sample(rows, rows_a_language, lang_col, text_col, id_col)
-    d = learned.select(F.col(lang_col).alias("lang"), words_of(F.col(text_col)).alias("words")).where("words is not null")
-    rate = code_bits(rows.sparkSession, trees, F.col("words"), 2 - halves_of(F.col("words"))) / F.octet_length("words")
-    found = d.select("lang", rate.alias("rate")).groupBy("lang").agg(F.percentile_approx("rate", 0.5, 10_000).alias("rate")).collect()
-    return dict.fromkeys(langs, float(UNLEARNED)) | {r["lang"]: math.sqrt(r["rate"] * UNLEARNED) for r in found}
+def bounds(rows: DataFrame, trees: ContextTrees, lang_col: str = "lang", text_col: str = "text") -> dict[str, float]:
+    """Bits a byte that the words of a text in each language may take. A language without words has none."""
+    medians = rates(rows, trees, lang_col, text_col).groupBy("lang").agg(F.percentile_approx("rate", 0.5, 10_000).alias("rate")).collect()
+    return {r["lang"]: math.sqrt(r["rate"] * UNLEARNED) for r in medians}
 
 
 def has_letter(text: Column) -> Column:

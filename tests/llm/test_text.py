@@ -9,6 +9,7 @@ import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -183,6 +184,19 @@ def test_tree_probabilities_sum_to_one(spark):
     assert p[ord("r")] == max(p) and 0.9 < p[list(seen)].sum() <= 1.0001
 
 
+def test_languages_are_learned_from_every_labelled_row(spark):
+    """More rows of a language than were once learned from, each with four bytes of its own, in both models and the bounds."""
+    letters = "bcdfghjklmnpqrst"
+    texts = ["".join(letters[i >> k & 15] for k in (12, 8, 4, 0)) for i in range(6000)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)] + [(9000, "zzzz", None, "a", 0)], SCHEMA)
+    codes = np.array([int.from_bytes(t.encode(), "big") for t in texts], np.uint64)
+    model, trees = langid.learn(docs), langid.learn_words(docs)
+    assert all((of.orders[3][0].find(codes) >= 0).all() for of in (model, trees))
+    assert model.orders[3][0].find(np.array([int.from_bytes(b"zzzz", "big")], np.uint64))[0] < 0
+    rates = sorted(r["rate"] for r in langid.rates(docs, trees).collect())
+    assert len(rates) == 6000 and rates[2980] <= langid.bounds(docs, trees)["en"] ** 2 / langid.UNLEARNED <= rates[3020]
+
+
 def test_held_out_language_accuracy(spark):
     found = queries.op4_langid(spark, "/root/testdata/sf0.01").where("held_out")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
