@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from starloom.llm import langid, minhash, packing
 from starloom.llm import quality as rules
 from starloom.llm import secrets as scans
-from starloom.llm.common import materialise
+from starloom.llm.common import bound_batches, materialise
 from starloom.llm.queries import byte_bpe_encoder
 
 #: Least score of a language that is believed.
@@ -26,6 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned from the rows' own labels: by score, and by the code length of their words."""
+    bound_batches(spark)
     trees = langid.learn_words(docs)
     bound = F.lit(float(langid.UNLEARNED))
     for lang, rate in langid.bounds(docs, trees).items():
@@ -40,6 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are told apart by a number of their own, so that null ids and ids that repeat with other
     texts are judged by their texts alone; the first row of a group stays. Rows without words stay.
     """
+    bound_batches(spark)
     numbered = materialise(docs.select(F.monotonically_increasing_id().alias("number"), F.struct("*").alias("row")), "numbered")
     gone = minhash.near_duplicates(numbered.select("number", F.col("row.text").alias("text")), id_col="number").where("not kept").select(F.col("doc_id").alias("gone"))
     return numbered.join(gone, F.col("number") == F.col("gone"), "left_anti").select("row.*")
@@ -68,4 +70,5 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens."""
+    bound_batches(spark)
     return packing.pack(packing.token_pieces(docs, byte_bpe_encoder()))

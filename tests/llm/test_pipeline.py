@@ -1,10 +1,13 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from starloom.llm import stages
+from starloom.llm.common import BATCH_BYTES, BATCH_SETTING
 
 from .conftest import SCHEMA, prose
 
@@ -60,3 +63,29 @@ def test_language_stage_rejects_what_was_never_learned(spark, sf):
         kept = stages.language(spark, docs, sf)
         assert kept.where("doc_id >= 10000000").count() == 0
         assert rows.where(F.col("text").rlike(r"\p{L}")).select("doc_id").subtract(kept.select("doc_id")).count() == 0
+
+
+def batch_bytes(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+
+@pytest.mark.parametrize("stage", [stages.language, stages.near_duplicates, stages.packing_stage])
+def test_python_gets_texts_in_bounded_batches(spark, tmp_path, stage):
+    """Whatever the number of rows; a limit that the session names stays, and results don't depend on it."""
+    texts = [" ".join(prose(i // 2, 150)) + " more" * (i % 2) for i in range(24)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    long = spark.range(20, numPartitions=1).select(F.repeat(F.lit("word "), 200_000).alias("text"))
+    out = {}
+    try:
+        for own in ("none", "2000"):
+            spark.conf.set(BATCH_SETTING, own) if own != "none" else spark.conf.unset(BATCH_SETTING)
+            out[own] = sorted(map(tuple, stage(spark, docs, str(tmp_path)).collect()))
+            if own == "none":
+                sizes = [r["n"] for r in long.mapInArrow(batch_bytes, "n long").collect()]
+                assert len(sizes) > 1 and max(sizes) < BATCH_BYTES + 1_100_000
+            else:
+                assert spark.conf.get(BATCH_SETTING) == own
+    finally:
+        spark.conf.unset(BATCH_SETTING)
+    assert out["none"] == out["2000"] and out["none"]
