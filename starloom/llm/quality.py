@@ -23,7 +23,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.llm.common import discard, id_text, materialise
@@ -98,14 +99,20 @@ def bucket_of(h: Column, buckets: int = BUCKETS) -> Column:
 
 
 def mean_ratio(table: Column, buckets: int = BUCKETS) -> Column:
-    """Mean of ``table`` over a document's ones and twos. ``table`` stands in it once, as plans are written out with all their constants."""
-    total = F.aggregate(F.concat("ones", "twos"), F.lit(0.0), lambda a, h: a + F.get(table, bucket_of(h, buckets)))
-    return F.round(total / F.greatest(F.size("ones") + F.size("twos"), F.lit(1)), 9)
+    """Mean of ``table`` over a document's ``hashes``."""
+    total = F.aggregate("hashes", F.lit(0.0), lambda a, h: a + F.get(table, bucket_of(h, buckets)))
+    return F.round(total / F.greatest(F.size("hashes"), F.lit(1)), 9)
 
 
-def as_table(values: list[float]) -> Column:
-    """A fixed number of values as one constant."""
-    return F.split(F.lit(",".join(f"{v:.7g}" for v in values)), ",").cast("array<double>")
+def as_tables(spark: SparkSession, tables: dict[str, list[float]]) -> dict[str, Column]:
+    """Each list of values as a column of one array, the same for every row.
+
+    They are subqueries of one row and no constants, as the driver writes each plan out, and keeps it,
+    with all its constants.
+    """
+    row = {name: pa.array([[float(f"{v:.7g}") for v in values]], pa.list_(pa.float64())) for name, values in tables.items()}
+    one = spark.createDataFrame(pa.table(row))
+    return {name: one.select(name).scalar() for name in tables}
 
 
 def half_of(doc_id: Column) -> Column:
@@ -199,10 +206,12 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     target_ids = trusted_ids(labels)
     raw, halves = count_buckets(docs, target_ids, id_col=id_col, text_col=text_col)
-    whole, first, second = (as_table(ratio_table(raw, t)) for t in ([a + b for a, b in zip(*halves)], *halves))
-    held_out = computed_once(F.when(F.col("n_words") >= MIN_WORDS, F.when(half_of(F.col("doc_id")) == 0, mean_ratio(second)).otherwise(mean_ratio(first))))
-    d = base_rules(docs, id_col, text_col).withColumns({"ratio": computed_once(mean_ratio(whole)), "held_out": held_out})
-    d = d.drop("ones", "twos") if rows else materialise(d.drop("ones", "twos", "row"), "judged")
+    tables = as_tables(docs.sparkSession, {name: ratio_table(raw, t) for name, t in (("whole", [a + b for a, b in zip(*halves)]), ("first", halves[0]), ("second", halves[1]))})
+    held_out = computed_once(F.when(F.col("n_words") >= MIN_WORDS, F.when(half_of(F.col("doc_id")) == 0, mean_ratio(F.col("second"))).otherwise(mean_ratio(F.col("first")))))
+    # Each table is used once and what lies below isn't copied up, so that Spark works it into its use and no row carries it.
+    d = base_rules(docs, id_col, text_col).withColumn("hashes", computed_once(F.concat("ones", "twos"))).drop("ones", "twos").withColumns(tables)
+    d = d.withColumns({"ratio": computed_once(mean_ratio(F.col("whole"))), "held_out": held_out}).drop("hashes", *tables)
+    d = d if rows else materialise(d.drop("row"), "judged")
     least = -math.inf
     if all(map(sum, halves)):
         least = threshold(d.where("held_out is not null").select("doc_id", F.col("held_out").alias("ratio")).join(target_ids, "doc_id"))

@@ -139,6 +139,20 @@ def test_quality_learns_from_every_labelled_row(spark):
     assert target.count() == n
 
 
+@pytest.mark.parametrize("rows", [True, False])
+def test_quality_plans_hold_no_tables(spark, monkeypatch, rows):
+    """The driver keeps the plans that it runs: no ratio of a bucket stands in them, and no row carries the tables."""
+    docs = spark.createDataFrame([(i, " ".join(prose(i, 80)), "en", "a", 0) for i in range(20)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int")
+    run, write = [], quality.materialise
+    monkeypatch.setattr(quality, "materialise", lambda df, label: run.append(df) or write(df, label))
+    found = quality.judge(docs, labels, rows=rows)
+    assert found.where("ratio <> 0").count() == 20
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (*run, found)]
+    assert sum("Subquery" in p for p in plans) >= 1 and max(map(len, plans)) < 50_000
+    assert not any(f" AS {name}#" in p for p in plans for name in ("whole", "first", "second"))
+
+
 def test_quality_quantiles_are_exact(spark):
     r = random.Random(3)
     for values in ([r.gauss(-0.1, 0.05) for _ in range(4000)], [0.5] * 900 + [-3.25, 7.0, -0.000000001], [-0.25]):
