@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from starloom.operators.kernels import spread_out
-from starloom.operators.pixels import combined_offsets, squared_distance
+from starloom.operators.pixels import combined_offsets, squared_distance, sums_in_order
 
 STAMP = ("star", "sector")
 #: Points a side of a pixel at which a profile is read; share of a pixel's light that counts as error of its model.
@@ -272,7 +272,8 @@ def combined_sectors(offsets: DataFrame) -> DataFrame:
     """star, sectors, e, n, ee, en, nn, chi2, depth, depth_err, scale, offset, sigma over a star's sectors with a dip."""
     d = offsets.where("detected")
     w = 1 / (F.col("depth_err") * F.col("depth_err"))
-    depth = d.groupBy("star").agg((F.sum(w * F.col("depth")) / F.sum(w)).alias("depth"), (1 / F.sqrt(F.sum(w))).alias("depth_err"), F.avg("scale").alias("scale"))
+    depth = sums_in_order(d, {"_w": w, "_wd": w * F.col("depth"), "_scale": F.col("scale"), "_scales": F.col("scale") * 0 + 1})
+    depth = depth.select("star", (F.col("_wd") / F.col("_w")).alias("depth"), (1 / F.sqrt("_w")).alias("depth_err"), (F.col("_scale") / F.col("_scales")).alias("scale"))
     c = combined_offsets(d.select("star", "e", "n", "ee", "en", "nn")).join(depth, "star")
     return c.withColumns({"offset": F.hypot("e", "n"), "sigma": sigmas(F.col("e"), F.col("n"))})
 

@@ -58,13 +58,19 @@ def squared_distance(e: Column, n: Column, ee: Column, en: Column, nn: Column) -
     return (nn * e * e - 2 * en * e * n + ee * n * n) / (ee * nn - en * en)
 
 
+def sums_in_order(d: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """star, sectors (rows) and the sum of each value without its nulls, terms ascending: the shuffle doesn't decide the last bits, on which ties hang. A star's sectors are few."""
+    g = d.groupBy("star").agg(F.count("*").alias("sectors"), *[F.array_sort(F.collect_list(v)).alias(k) for k, v in values.items()])
+    return g.withColumns({k: F.when(F.size(k) > 0, F.aggregate(k, F.lit(0.0), lambda total, v: total + v)) for k in values})
+
+
 def combined_offsets(s: DataFrame) -> DataFrame:
     """star, n, e, n_off, ee, en, nn, chi2: a star's offsets (e, n, covariance ee, en, nn) weighted by their inverse covariances, errors widened where they disagree."""
     det = F.col("ee") * F.col("nn") - F.col("en") * F.col("en")
     s = s.withColumns({"a": F.col("nn") / det, "b": -F.col("en") / det, "c": F.col("ee") / det})
     x, y = F.col("a") * F.col("e") + F.col("b") * F.col("n"), F.col("b") * F.col("e") + F.col("c") * F.col("n")
     own = F.col("e") * x + F.col("n") * y
-    g = s.groupBy("star").agg(F.count("*").alias("sectors"), *[F.sum(k).alias(k) for k in "abc"], F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(own).alias("own"))
+    g = sums_in_order(s, {**{k: F.col(k) for k in "abc"}, "x": x, "y": y, "own": own})
     full = F.col("a") * F.col("c") - F.col("b") * F.col("b")
     g = g.withColumns({"ee": F.col("c") / full, "en": -F.col("b") / full, "nn": F.col("a") / full})
     g = g.withColumns({"e": F.col("ee") * F.col("x") + F.col("en") * F.col("y"), "n": F.col("en") * F.col("x") + F.col("nn") * F.col("y")})

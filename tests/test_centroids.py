@@ -1,5 +1,6 @@
 """Fits on pixel stamps against planted scenes, plain searches and simulated noise."""
 
+import itertools
 import math
 
 import numpy as np
@@ -145,6 +146,17 @@ def test_verdicts_from_pixels_to_words(spark):
     assert "close (1 arcsec away) would need a" in v[4].reason
 
 
+def test_the_order_of_sectors_decides_no_tie(spark):
+    """A depth of 0.01 five magnitudes fainter needs an eclipse of exactly one, whatever the order in which three sectors are summed."""
+    schema = "star long, sector string, e double, n double, ee double, en double, nn double, depth double, depth_err double, detected boolean, scale double"
+    rows = [(1, s, 0.0, 0.0, 4.0, 0.5, 5.0, 0.01, err, True, 21.0) for s, err in (("a", 0.001), ("b", 0.003), ("c", 0.003))]
+    near = spark.createDataFrame([(1, 1, 1.0, 1.0, 5.0)], "star long, id long, at_e double, at_n double, fainter double")
+    for order in itertools.permutations(rows):
+        combined = ct.combined_sectors(spark.createDataFrame(order, schema).coalesce(1))
+        t = ct.neighbour_table(combined, near).first()
+        assert (t.needed, t.suspect) == (1.0, True)
+
+
 def test_places_and_pixels_go_round(spark):
     d = spark.createDataFrame([(359.9, 60.0, 5.0, 4.0, -0.004, 0.003, 0.003, 0.004, 7.5, 2.25), (10.0, -89.0, 5.0, 4.0, -0.0058, 0.0, 0.0, 0.0058, 1.0, 9.0)], "ra0 double, dec0 double, x0 double, y0 double, c11 double, c12 double, c21 double, c22 double, x double, y double")
     ra, dec = sky.place_of(F.col("x"), F.col("y"))
