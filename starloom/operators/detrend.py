@@ -10,7 +10,7 @@ Rows with a null or NaN time or flux are left out. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from starloom.operators import quantiles as q
 from starloom.operators.chunks import carried, chunk_of, runs, with_halo
+from starloom.operators.kernels import spread_out
 from starloom.operators.shared import checkpointed
 
 #: Gap that ends a run, rows that a run and a window need, upward limit in sigmas, steps a window.
@@ -60,29 +61,42 @@ def finite(d: DataFrame) -> DataFrame:
     return d.where("t is not null and flux is not null and not isnan(t) and not isnan(flux) and abs(t) < double('inf') and abs(flux) < double('inf')")
 
 
-def estimates(used: DataFrame, width: float, half: float, places: Callable[[pd.DataFrame, float, float], tuple[np.ndarray, np.ndarray]], rounds: int) -> DataFrame:
+#: (t, begins, ends, low, high): times to estimate at and the least number of rows.
+Places = Callable[[np.ndarray, float, float, float, float], tuple[np.ndarray, int]]
+
+
+def estimates(used: DataFrame, width: float, half: float, places: Places, rounds: int) -> DataFrame:
     """star, begins, node, value: the biweight at the places that a chunk's rows call for, where a window holds enough rows.
 
-    ``places`` gives, for a run's rows in and around a chunk, the times to estimate at and the least number of rows.
+    ``places`` gives, for the times of a run's rows in and around a chunk, the times to estimate at and
+    the least number of rows. A run's rows in a chunk are one row of arrays; the windows of all rows of
+    a batch advance together.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, found = pdf["chunk"].iloc[0], []
-        for begins, part in pdf.groupby("begins", sort=True):
-            part = part.sort_values(["t", "flux"])
-            t, f = part["t"].to_numpy(), part["flux"].to_numpy()
-            nodes, least = places(part, low * width, (low + 1) * width)
-            nodes = nodes[np.floor(nodes / width) == low]
-            a, b = np.searchsorted(t, nodes - half), np.searchsorted(t, nodes + half)
-            enough = b - a >= least
-            nodes, a, b = nodes[enough], a[enough], b[enough]
-            if len(nodes):
-                found.append(pd.DataFrame({"star": pdf["star"].iloc[0], "begins": begins, "node": nodes, "value": biweights(f, a, b, rounds=rounds)}))
-        return pd.concat(found) if found else pd.DataFrame({"star": pdf["star"].iloc[:0], "begins": [], "node": [], "value": []})
+    def windows(x) -> tuple[np.ndarray, ...]:
+        t = np.asarray(x.t, dtype=float)
+        nodes, least = places(t, x.begins, x.ends, x.chunk * width, (x.chunk + 1) * width)
+        nodes = nodes[np.floor(nodes / width) == x.chunk]
+        a, b = np.searchsorted(t, nodes - half), np.searchsorted(t, nodes + half)
+        enough = b - a >= least
+        return nodes[enough], a[enough], b[enough]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            found = [windows(x) for x in pdf.itertuples(index=False)]
+            begin = np.cumsum([0, *map(len, pdf["flux"])])
+            low, high = (np.concatenate([w[i] + k for w, k in zip(found, begin)]) for i in (1, 2))
+            n = [len(w[0]) for w in found]
+            value = biweights(np.concatenate(pdf["flux"].to_list()), low, high, rounds=rounds)
+            yield pdf[["star", "begins"]].loc[pdf.index.repeat(n)].assign(node=np.concatenate([w[0] for w in found]), value=value)
 
     star = used.schema["star"].dataType.simpleString()
     near = with_halo(used.select("star", "t", "flux", "begins", "ends"), width, half)
-    return near.groupBy("star", "chunk").applyInPandas(run, f"star {star}, begins double, node double, value double")
+    g = near.groupBy("star", "chunk", "begins").agg(F.max("ends").alias("ends"), F.array_sort(F.collect_list(F.struct("t", "flux"))).alias("r"))
+    rows = g.select("star", "chunk", "begins", "ends", F.col("r.t").cast("array<double>").alias("t"), F.col("r.flux").cast("array<double>").alias("flux"))
+    return spread_out(rows, "star", "chunk", "begins").mapInPandas(run, f"star {star}, begins double, node double, value double")
 
 
 def on_lines(rows: DataFrame, nodes: DataFrame, width: float, within_runs: bool) -> DataFrame:
@@ -114,8 +128,7 @@ def sliding_biweight(d: DataFrame, window: float, step: float | None = None, gap
     width = chunk or WINDOWS_A_CHUNK * window
     d = checkpointed(runs(finite(d), gap, width))
 
-    def places(part: pd.DataFrame, low: float, high: float) -> tuple[np.ndarray, int]:
-        begins, ends = part["begins"].iloc[0], part["ends"].iloc[0]
+    def places(t: np.ndarray, begins: float, ends: float, low: float, high: float) -> tuple[np.ndarray, int]:
         count = int(np.ceil((ends + step - begins) / step))
         first, last = max(int((low - begins) / step) - 1, 0), min(int((high - begins) / step) + 2, count)
         return begins + np.arange(first, max(last, first)) * step, LEAST_IN_WINDOW
@@ -143,7 +156,7 @@ def biweight_at_rows(d: DataFrame, window: float, gap: float = GAP_D, chunk: flo
     d = checkpointed(finite(d))
     used = runs(d.where("not masked"), gap, width)
     few = d.groupBy("star").agg(F.count_if(~F.col("masked")).alias("n_used")).where(F.col("n_used") < LEAST_IN_RUN).select(F.col("star").alias("l_star"))
-    places = lambda part, low, high: (np.unique(part["t"].to_numpy()), 1)
+    places = lambda t, begins, ends, low, high: (np.unique(t), 1)
     nodes = checkpointed(estimates(used.drop("chunk"), width, half, places, rounds))
     same = F.col("star").eqNullSafe(F.col("l_star"))
     level = q.medians(d.where("not masked").join(few, same, "left_semi"), ("star",), F.col("flux"), "_level").select(F.col("star").alias("m_star"), "_level")
