@@ -55,6 +55,38 @@ def near_in_time(left: DataFrame, right: DataFrame, within: float, on: str) -> D
     return j.where(F.abs(F.col("t") - F.col("r_t")) <= within).drop("_cell", "r_cell")
 
 
+#: A share of a number that moves it by its last bit.
+LAST_BIT = 1.5 * 2.0**-53
+
+
+def others_near(d: DataFrame, within: float, on: str, who: str) -> DataFrame:
+    """``d`` with neighbours: how many other ``who`` have a row of equal ``on`` at most ``within`` away in t. Rows without one of the three go.
+
+    No pairs: what a ``who`` covers begins where it reaches no row of its own before, and ends likewise;
+    a row's neighbours are what has begun and not ended by its time. Sums run inside cells of time, one
+    row for each cell carries what is open at its beginning.
+    """
+    t = F.col("t")
+    low, high = t - within, t + within
+    # The outermost numbers that a difference of doubles puts within reach.
+    d = d.where(f"`{on}` is not null and `{who}` is not null and t is not null and not isnan(t)")
+    d = d.withColumns({"_low": F.when(t - low > within, low + F.abs(low) * LAST_BIT).otherwise(low), "_high": F.when(high - t > within, high - F.abs(high) * LAST_BIT).otherwise(high)})
+    w = W.partitionBy(on, who).orderBy("t")
+    begins = F.coalesce(F.col("_low") > F.lag("_high").over(w), F.lit(True))
+    ends = F.coalesce(F.col("_high") < F.lead("_low").over(w), F.lit(True))
+    d = d.withColumns({"_begins": begins, "_ends": ends})
+    names = [c for c in d.columns if not c.startswith("_")]
+    mark = lambda x, kind, step: F.struct(x.alias("x"), F.lit(kind).alias("kind"), F.lit(step).cast("long").alias("step"))
+    marks = F.array(F.when(F.col("_begins"), mark(F.col("_low"), 0, 1)), mark(t, 1, 0), F.when(F.col("_ends"), mark(F.col("_high"), 2, -1)))
+    m = d.select(*names, F.explode(F.filter(marks, lambda x: x.isNotNull())).alias("_m")).select(*names, F.col("_m.x").alias("_x"), F.col("_m.kind").alias("_kind"), F.col("_m.step").alias("_step"))
+    m = m.withColumn("_cell", F.floor(F.col("_x") / within))
+    before = W.partitionBy("_on").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    cells = m.groupBy(F.col(on).alias("_on"), F.col("_cell").alias("_at")).agg(F.sum("_step").alias("_sum")).select("_on", "_at", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_open"))
+    here = F.sum("_step").over(W.partitionBy(on, "_cell").orderBy("_x", "_kind").rowsBetween(W.unboundedPreceding, 0))
+    rows = m.withColumn("_here", here).where("_kind = 1")
+    return rows.join(cells, (F.col(on) == F.col("_on")) & (F.col("_cell") == F.col("_at"))).select(*names, (F.col("_open") + F.col("_here") - 1).alias("neighbours"))
+
+
 def last_before(left: DataFrame, right: DataFrame, on: str, value: str) -> DataFrame:
     """``left`` with the ``value`` and time (r_t) of the last row of ``right`` at or before t; null if none.
 

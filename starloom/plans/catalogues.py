@@ -101,8 +101,12 @@ def sky_cells(customer):
 @query("events", sql="WITH e AS (SELECT event_id, user_id AS star, event_type AS sector, epoch_us(ts) / 86400e6 AS t FROM events WHERE value > 120) SELECT a.event_id, count(DISTINCT b.star) AS neighbours FROM e a JOIN e b ON a.sector = b.sector AND abs(a.t - b.t) <= 0.25 AND a.star <> b.star GROUP BY a.event_id HAVING count(DISTINCT b.star) >= 2")
 def neighbour_events(events):
     e = curve(events).where("flux > 120").select("event_id", "star", "sector", "t")
-    j = matching.near_in_time(e, e, 0.25, "sector").where("star <> r_star")
-    return j.groupBy("event_id").agg(F.countDistinct("r_star").alias("neighbours")).where("neighbours >= 2")
+    # Rows of one number count their stars together, in pairs; there are none in a sound table.
+    twice = e.groupBy("event_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("event_id").alias("id"))
+    same = F.col("event_id").eqNullSafe(F.col("id"))
+    once = matching.others_near(e, 0.25, "sector", "star").join(twice, same, "left_anti").select("event_id", "neighbours")
+    j = matching.near_in_time(e.join(twice, same, "left_semi"), e, 0.25, "sector").where("star <> r_star")
+    return once.unionByName(j.groupBy("event_id").agg(F.countDistinct("r_star").alias("neighbours"))).where("neighbours >= 2")
 
 
 @query("events", sql="WITH e AS (SELECT event_id, user_id AS star, event_type, epoch_us(ts) / 86400e6 AS t, value FROM events), l AS (SELECT * FROM e WHERE event_type = 'purchase'), r AS (SELECT * FROM e WHERE event_type = 'signup') SELECT l.event_id, r.value AS r_flux FROM l ASOF LEFT JOIN r ON l.star = r.star AND l.t >= r.t")
