@@ -57,33 +57,42 @@ def profile(px: np.ndarray, py: np.ndarray, x: np.ndarray, y: np.ndarray, ratio:
 def fitted(model, p: np.ndarray, low: np.ndarray, high: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Parameters within bounds that minimise the weighted squares, damped steps for all items at once; their costs and normal matrices.
 
-    ``model(p)`` gives values (items, points) and slopes (items, points, parameters). A parameter at
-    a bound whose step leads outside stands still. A worse step is taken back and damped more.
+    ``model(p, item)`` gives values (items, points) and slopes (items, points, parameters) of the items
+    of the numbers ``item``; settled ones aren't worked on further. A parameter at a bound whose step
+    leads outside stands still. A worse step is taken back and damped more.
     """
-    damp, done = np.full(len(p), 1e-3), np.zeros(len(p), bool)
-    values, slopes = model(p)
+    low, high = (np.broadcast_to(b, p.shape) for b in (low, high))
+    item, each = np.arange(len(p)), np.arange(p.shape[1])
+    values, slopes = model(p, item)
     cost = ((w * (y - values)) ** 2).sum(axis=1)
-    each = np.arange(p.shape[1])
+    every = p.copy(), cost.copy(), slopes
+    damp = np.full(len(p), 1e-3)
     for _ in range(rounds):
-        j = slopes * w[:, :, None]
-        normal, down = np.einsum("bpi,bpj->bij", j, j), np.einsum("bpi,bp->bi", j, w * (y - values))
-        held = ((p <= low) & (down < 0)) | ((p >= high) & (down > 0))
+        lo, hi, y1, w1 = low[item], high[item], y[item], w[item]
+        j = slopes * w1[:, :, None]
+        normal, down = np.einsum("bpi,bpj->bij", j, j), np.einsum("bpi,bp->bi", j, w1 * (y1 - values))
+        held = ((p <= lo) & (down < 0)) | ((p >= hi) & (down > 0))
         normal = np.where(held[:, :, None] | held[:, None, :], 0.0, normal)
         size = normal[:, each, each]
         normal[:, each, each] = np.where(size > 0, size * (1 + damp[:, None]), 1.0)
         step = np.linalg.solve(normal, np.where(held, 0.0, down)[:, :, None])[:, :, 0]
-        new = np.clip(np.where(done[:, None], p, p + step), low, high)
-        new_values, new_slopes = model(new)
-        new_cost = ((w * (y - new_values)) ** 2).sum(axis=1)
+        new = np.clip(p + step, lo, hi)
+        new_values, new_slopes = model(new, item)
+        new_cost = ((w1 * (y1 - new_values)) ** 2).sum(axis=1)
         better = new_cost <= cost
-        done |= (better & (cost - new_cost <= 1e-12 * cost)) | (damp > 1e9)
+        done = (better & (cost - new_cost <= 1e-12 * cost)) | (damp > 1e9)
         damp = np.where(better, np.maximum(damp / 10, 1e-9), damp * 10)
         p, cost = np.where(better[:, None], new, p), np.where(better, new_cost, cost)
         values, slopes = np.where(better[:, None], new_values, values), np.where(better[:, None, None], new_slopes, slopes)
-        if done.all():
+        for out, now in zip(every, (p, cost, slopes)):
+            out[item] = now
+        left = ~done
+        if not left.any():
             break
-    j = slopes * w[:, :, None]
-    return p, cost, np.einsum("bpi,bpj->bij", j, j)
+        if done.any():
+            item, p, cost, values, slopes, damp = (a[left] for a in (item, p, cost, values, slopes, damp))
+    j = every[2] * w[:, :, None]
+    return every[0], every[1], np.einsum("bpi,bpj->bij", j, j)
 
 
 def covariance(normal: np.ndarray, wide: np.ndarray, instead: np.ndarray) -> np.ndarray:
@@ -114,10 +123,10 @@ def fit_scene(px, py, image, var, x, y, ratio):
     image = np.where(good, image, 0.0)
     w = np.where(good, 1 / np.sqrt(np.where(good, var, 1.0) + (MODEL_ERROR * image) ** 2), 0.0)
 
-    def model(p):
-        m = profile(px, py, x + p[:, :1], y + p[:, 1:2], ratio, p[:, 2:5])
+    def model(p, i):
+        m = profile(px[i], py[i], x[i] + p[:, :1], y[i] + p[:, 1:2], ratio[i], p[:, 2:5])
         light = p[:, 5, None]
-        return light * m[0] + p[:, 6, None], np.stack([*(light * m[1:]), m[0], np.ones_like(px)], axis=2)
+        return light * m[0] + p[:, 6, None], np.stack([*(light * m[1:]), m[0], np.ones_like(m[0])], axis=2)
 
     low = np.array([-MOST_SHIFT, -MOST_SHIFT, 1 / SIGMAS[1], -1 / SIGMAS[0], 1 / SIGMAS[1], -np.inf, -np.inf])
     high = np.array([MOST_SHIFT, MOST_SHIFT, 1 / SIGMAS[0], 1 / SIGMAS[0], 1 / SIGMAS[0], np.inf, np.inf])
@@ -150,9 +159,9 @@ def fit_difference(px, py, diff, var, shape, starts_x, starts_y):
     item, start = np.nonzero(usable)
     px2, py2, y2, w2, shape2, one = px[item], py[item], diff[item], w[item], shape[item], np.ones((len(item), 1))
 
-    def model(p):
-        m = profile(px2, py2, p[:, :1], p[:, 1:2], one, shape2)
-        return p[:, 2, None] * m[0] + p[:, 3, None], np.stack([p[:, 2, None] * m[1], p[:, 2, None] * m[2], m[0], np.ones_like(px2)], axis=2)
+    def model(p, i):
+        m = profile(px2[i], py2[i], p[:, :1], p[:, 1:2], one[i], shape2[i])
+        return p[:, 2, None] * m[0] + p[:, 3, None], np.stack([p[:, 2, None] * m[1], p[:, 2, None] * m[2], m[0], np.ones_like(m[0])], axis=2)
 
     p = np.column_stack([xs[item, start], ys[item, start], np.zeros((len(item), 2))])
     p[:, 2:] = of_light(profile(px2, py2, p[:, :1], p[:, 1:2], one, shape2)[0], y2, w2)

@@ -167,3 +167,25 @@ def test_places_and_pixels_go_round(spark):
         assert (r.x2, r.y2) == pytest.approx((r.x, r.y), abs=1e-8)
     first = d.withColumns(slopes).first()
     assert (first.ex, first.ny) == pytest.approx((-0.004 * 3600, 0.004 * 3600), rel=2e-3)
+
+
+def test_settled_items_are_left_out_of_later_rounds():
+    """Straight lines settle at once, one item's exponential takes many rounds: only it is worked on then, and all come out as alone."""
+    x = np.linspace(0, 1, 30)
+    y = np.stack([2 * x + 1, 3 * np.exp(2 * x), -x])
+    sizes = []
+
+    def model(p, item):
+        sizes.append(len(item))
+        curved = (item == 1)[:, None]
+        a, b = p[:, :1], p[:, 1:2]
+        bent = np.exp(np.clip(b * x, -20, 20))
+        return np.where(curved, a * bent, a * x + b), np.stack([np.where(curved, bent, x), np.where(curved, a * x * bent, 1.0)], axis=2)
+
+    start, bound = np.array([[0.0, 0.0], [1.0, 0.1], [0.0, 0.0]]), np.array([50.0, 50.0])
+    p, cost, normal = ct.fitted(model, start, -bound, bound, y, np.ones_like(y))
+    assert np.allclose(p, [[2, 1], [3, 2], [-1, 0]], atol=1e-6) and normal.shape == (3, 2, 2)
+    assert sizes[0] == 3 and sizes[-1] < 3
+    for i in range(3):
+        one = ct.fitted(lambda q, item: model(q, item + i), start[i : i + 1], -bound, bound, y[i : i + 1], np.ones((1, 30)))
+        assert np.allclose(one[0][0], p[i], rtol=1e-9, atol=1e-9) and np.allclose(one[2][0], normal[i])
